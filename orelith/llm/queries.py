@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orelith.functions.moments import text_micros
+from orelith.llm.history import History
 from orelith.llm.neighbours import neighbours
 from orelith.operators.snapshots import latest_by
-from orelith.session import table
+from orelith.session import materialise, new_path, table
 
 DIMS = 64
 
@@ -22,7 +24,21 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p3_found,)}
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The batches in their order against the growing history; the history starts empty in a folder of its own."""
+    m = table(spark, sf, "memories").select("id", F.replace("symbol", F.lit("#"), F.lit(".")).alias("grp"), "text", F.col("batch_no").alias("batch"), text_micros("created_at").alias("at"))
+    m = materialise(m, "memories")
+    history = History(spark, new_path(spark, "history"))
+    out = None
+    for (batch,) in m.select("batch").distinct().orderBy("batch").collect():  # one row per delivered batch
+        found = materialise(history.absorb(m.where(F.col("batch").eqNullSafe(F.lit(batch)))), "restated")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], "id_a string, id_b string")
+    return out.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p4_found)}
 
 SQL = {
     "p3_found": """
