@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from orelith.functions.moments import text_micros
 from orelith.llm.history import History
+from orelith.llm.leaks import leaks
 from orelith.llm.neighbours import neighbours
+from orelith.llm.packing import pack, token_counts, tokenizer_path
+from orelith.llm.subjects import document_subjects, subject_counts
 from orelith.operators.snapshots import latest_by
-from orelith.session import materialise, new_path, table
+from orelith.session import materialise, new_path, table, widen
 
 DIMS = 64
 
@@ -38,9 +41,57 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found)}
+def p8_assign(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(token_counts(table(spark, sf, "documents"), tokenizer_path()), table(spark, sf, "context_windows"))
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Per window: containers used, the least any packing needs, and the share of room that stays unused."""
+    bins = p8_assign(spark, sf).groupBy("window_name", "capacity", "bin_id").agg(F.sum("n_tokens").alias("load"))
+    out = bins.groupBy("window_name", "capacity").agg(F.count("*").alias("n_bins"), F.ceil(F.sum("load") / F.first("capacity")).alias("least_bins"), F.sum("load").alias("n_tokens"))
+    return out.withColumn("unused_share", F.round(1 - F.col("n_tokens") / (F.col("n_bins") * F.col("capacity")), 6))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks(widen(table(spark, sf, "documents").select("doc_id", "text")), table(spark, sf, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Per test item: in how many documents it leaked, and how many runs of words matched."""
+    out = leaks(widen(table(spark, sf, "documents").select("doc_id", "text")), table(spark, sf, "eval_items"))
+    return out.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.sum("n_runs").alias("n_runs"))
+
+
+def _subject_counts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("tag"), F.coalesce(F.col("source") == "search-log", F.lit(False)).alias("whole"))
+    return subject_counts(docs, table(spark, sf, "subject_labels").select("doc_id", "subject"), table(spark, sf, "subjects"), table(spark, sf, "eval_items"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return document_subjects(_subject_counts(spark, sf))
+
+
+def p10_composition(spark: SparkSession, sf: str) -> DataFrame:
+    """Per source and subject: documents of that subject and sentences about it."""
+    counts = _subject_counts(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    return counts.groupBy("source", "subject").agg(F.count(F.when(F.col("n_about") >= 0.25 * F.col("n_sentences"), 1)).alias("n_docs"), F.sum("n_about").alias("n_sentences"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p8_assign, p8_fill, p9_found, p9_leaked_items, p10_found, p10_composition)}
+
+_LEAKS = r"""
+WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS ws FROM documents WHERE text IS NOT NULL),
+d AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 10)) AS i FROM w WHERE len(ws) >= 12),
+dr AS (SELECT doc_id, array_to_string(ws[i:i + 11], ' ') AS run FROM d),
+v AS (SELECT item_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS ws FROM eval_items),
+e AS (SELECT item_id, ws, unnest(range(1, len(ws) - 10)) AS i FROM v WHERE len(ws) >= 12),
+er AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 11], ' ') AS run FROM e),
+hit AS (SELECT doc_id, item_id, count(*) AS n_runs FROM dr JOIN er USING (run) GROUP BY ALL)
+"""
 
 SQL = {
+    "p9_found": _LEAKS + "SELECT doc_id, item_id FROM hit",
+    "p9_leaked_items": _LEAKS + "SELECT item_id, count(*) AS n_docs, sum(n_runs) AS n_runs FROM hit GROUP BY ALL",
     "p3_found": """
 WITH v AS (SELECT id, lower(trim(vec_type)) AS kind, CAST(vector AS DOUBLE[]) AS vector FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC) AS rn FROM vectors) WHERE rn = 1),
 u AS (SELECT * FROM v WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x))) = 0 AND list_sum(list_transform(vector, lambda x: x * x)) > 0),
