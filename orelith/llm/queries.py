@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orelith.functions.moments import text_micros
+from orelith.functions.paths import extension
+from orelith.llm.authored import file_classes
+from orelith.llm.grammar import LANGUAGE_OF
 from orelith.llm.history import History
 from orelith.llm.leaks import leaks
 from orelith.llm.neighbours import neighbours
 from orelith.llm.packing import pack, token_counts, tokenizer_path
 from orelith.llm.subjects import document_subjects, subject_counts
+from orelith.llm.syntax import syntax_errors
 from orelith.operators.snapshots import latest_by
 from orelith.session import materialise, new_path, table, widen
 
@@ -41,6 +45,32 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"))
 
 
+def _sources(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "source_files").select("repo", "file", F.col("src_text").alias("text"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return file_classes(_sources(spark, sf)).where("file_class IS NOT NULL").select("repo", "file", "file_class")
+
+
+def p5_by_repo(spark: SparkSession, sf: str) -> DataFrame:
+    """Per repo and language: files of each class, hand-written ones included."""
+    return file_classes(_sources(spark, sf)).groupBy("repo", "lang", F.coalesce("file_class", F.lit("hand-written")).alias("file_class")).agg(F.count("*").alias("n_files"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return syntax_errors(_sources(spark, sf)).select("repo", "file")
+
+
+def p6_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Per repo and language: files, invalid files and their share."""
+    lang = F.create_map(*[F.lit(x) for kv in LANGUAGE_OF.items() for x in kv])
+    files = table(spark, sf, "source_files").select("repo", "file", lang[extension("file")].alias("lang")).where("lang IS NOT NULL").distinct()
+    bad = syntax_errors(_sources(spark, sf)).select("repo", "file", F.lit(1).alias("bad"))
+    out = files.join(bad, ["repo", "file"], "left").groupBy("repo", "lang").agg(F.count("*").alias("n_files"), F.count("bad").alias("n_invalid"))
+    return out.withColumn("share", F.round(F.col("n_invalid") / F.col("n_files"), 6))
+
+
 def p8_assign(spark: SparkSession, sf: str) -> DataFrame:
     return pack(token_counts(table(spark, sf, "documents"), tokenizer_path()), table(spark, sf, "context_windows"))
 
@@ -77,7 +107,7 @@ def p10_composition(spark: SparkSession, sf: str) -> DataFrame:
     return counts.groupBy("source", "subject").agg(F.count(F.when(F.col("n_about") >= 0.25 * F.col("n_sentences"), 1)).alias("n_docs"), F.sum("n_about").alias("n_sentences"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p8_assign, p8_fill, p9_found, p9_leaked_items, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p5_found, p5_by_repo, p6_found, p6_rates, p8_assign, p8_fill, p9_found, p9_leaked_items, p10_found, p10_composition)}
 
 _LEAKS = r"""
 WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS ws FROM documents WHERE text IS NOT NULL),
