@@ -21,14 +21,14 @@ from orelith.llm.grammar import CS_CONTEXTUAL, CS_RESERVED, CS_TYPES, JS_RESERVE
 from orelith.session import materialise, widen
 
 LITERAL_SHARE = 0.6  # of a data file's characters outside comments
-SHORT_SHARE, MANGLED_BITS = 0.6, 3.0  # of a minified file's names; least bits a character
+SHORT_SHARE, MANGLED_BITS = 0.6, 2.0  # of a minified file's names; least bits a character
 TEMPLATE_SHARE, SHAPE_SHARE, MIN_NAMES = 0.5, 0.4, 6  # of a generated file's names; most distinct line shapes
 FOREIGN_SHARE, FOREIGN_BITS, MIN_DECLARED = 0.6, 2.5, 3  # of a vendored file's declared names
 
 _TOKEN = re.compile(r"/\*[\s\S]*?(?:\*/|$)|//[^\n]*|`(?:[^`\\]|\\[\s\S])*`|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[^\W\d][\w$]*|\d[\w.]*|\S")
 _COMMENT = re.compile(r"/\*[\s\S]*?(?:\*/|$)|//[^\n]*")
 _WORDS = JS_RESERVED | TS_CONTEXTUAL | CS_RESERVED | CS_CONTEXTUAL | CS_TYPES
-_STATEMENTS = set("function return if for while switch try var let const class foreach throw".split())
+_STATEMENTS = set("function return if for while switch try var let const foreach throw".split())
 _JS_DECLARED = re.compile(r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)|\bclass\s+([A-Za-z_$][\w$]*)|^[ \t]*(?:(?:public|private|protected|static|async|get|set|readonly)\s+)*([A-Za-z_$][\w$]*)\s*\([^()\n]*(?:\([^()\n]*\)[^()\n]*)*\)\s*(?::[^{;\n]+)?\{", re.M)
 _CS_DECLARED = re.compile(r"\b(?:class|interface|struct|record|enum)\s+([A-Za-z_]\w*)|^[ \t]*(?:(?:public|private|protected|internal|static|async|override|virtual|sealed|partial|readonly)\s+)+[\w<>\[\],.? ]+?\s+([A-Za-z_]\w*)\s*[({\n=;]", re.M)
 _NO_NAME = set("if for while switch catch function return".split())
