@@ -1,5 +1,5 @@
 """All queries of the core by name."""
 
-from orelith.plans import general
+from orelith.plans import core, general
 
-QUERIES = dict(general.QUERIES)
+QUERIES = general.QUERIES | core.QUERIES
