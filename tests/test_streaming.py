@@ -20,16 +20,15 @@ def test_changes_and_deletions_are_seen(tmp_path):
 def test_stream_to_listeners(spark, tmp_path):
     root, seen = tmp_path / "p", []
     root.mkdir()
-    stream = changes(spark, str(root))
+    stream = changes(spark, str(root), initial=True)
 
     def broken(batch, epoch):
         raise ValueError("one listener fails")
 
     q = watch(debounce(stream, 200), [broken, lambda b, _: seen.extend((r["file"], r["kind"]) for r in b.collect())], str(tmp_path / "cp"), "300 milliseconds")
     try:
-        time.sleep(3)
         (root / "x.ts").write_text("1")
-        end = time.time() + 40
+        end = time.time() + 120
         while time.time() < end and not seen:
             time.sleep(0.5)
         (root / "x.ts").unlink()
