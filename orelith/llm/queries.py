@@ -121,7 +121,7 @@ hit AS (SELECT doc_id, item_id, count(*) AS n_runs FROM dr JOIN er USING (run) G
 
 SQL = {
     "p9_found": _LEAKS + "SELECT doc_id, item_id FROM hit",
-    "p9_leaked_items": _LEAKS + "SELECT item_id, count(*) AS n_docs, sum(n_runs) AS n_runs FROM hit GROUP BY ALL",
+    "p9_leaked_items": _LEAKS + "SELECT item_id, count(*) AS n_docs, CAST(sum(n_runs) AS BIGINT) AS n_runs FROM hit GROUP BY ALL",
     "p3_found": """
 WITH v AS (SELECT id, lower(trim(vec_type)) AS kind, CAST(vector AS DOUBLE[]) AS vector FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC) AS rn FROM vectors) WHERE rn = 1),
 u AS (SELECT * FROM v WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x))) = 0 AND list_sum(list_transform(vector, lambda x: x * x)) > 0),

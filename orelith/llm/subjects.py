@@ -35,6 +35,7 @@ TASKS = 512  # at most so many partial matrices are summed
 
 _BREAK = re.compile(r"(?<=[.!?])\s+|\n+")
 _CAMEL = re.compile(r"(?<=[^\W\d_A-Z])(?=[A-Z])")
+_WIDE = re.compile(r"[^\x00-\x7f]+")
 _TERM = re.compile(r"[^\W\d_]{3,}")
 
 
@@ -43,6 +44,17 @@ def terms(sentence: str) -> list[str]:
     return [t.lower() for t in _TERM.findall(_CAMEL.sub(" ", sentence))]
 
 
+def repaired(text: str) -> str:
+    """Undoes UTF-8 that was read as Windows-1252, run by run; what is no such run stays."""
+    def fix(m: re.Match) -> str:
+        try:
+            return m.group().encode("cp1252").decode("utf-8")
+        except UnicodeError:
+            return m.group()
+
+    return _WIDE.sub(fix, text)
+
+
 def sentences(text: str, whole: bool, machine=None, words: int = 12) -> list[str]:
     """Sentences and list lines of a text, headings aside, without those that share a run of `words` words with machine's items."""
     if whole:
@@ -84,7 +96,7 @@ def subject_counts(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
         for pdf in batches:
             rows = []
             for doc, text, tag, whole in zip(pdf["doc_id"], pdf["text"], pdf["tag"], pdf["whole"], strict=True):
-                said = [sorted(set(terms(html.unescape(s)))) for s in sentences(text, bool(whole), machine)]
+                said = [sorted(set(terms(repaired(html.unescape(s))))) for s in sentences(text, bool(whole), machine)]
                 if said:
                     t = (tag or "").strip().lower()[:2]
                     rows.append((doc, t if t in LANGUAGES else None, said))

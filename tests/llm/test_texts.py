@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from orelith.llm.authored import features, file_classes, style
 from orelith.llm.grammar import lex, pairs
 from orelith.llm.history import History, lcs, restates
-from orelith.llm.subjects import document_subjects, sentences, subject_counts
+from orelith.llm.subjects import document_subjects, repaired, sentences, subject_counts
 from orelith.llm.syntax import syntax_errors
 from orelith.session import new_path
 
@@ -145,4 +145,5 @@ def test_subjects(spark):
 
 
 def test_sentences():
+    assert repaired("kavÅŸak Ã¼ şu ü x") == "kavşak ü şu ü x"
     assert sentences("# head\n- One line.\n- Two! Three?\n\n", False) == ["- One line.", "- Two!", "Three?"] and sentences("a. b", True) == ["a. b"] and sentences(" ", True) == []
