@@ -284,9 +284,9 @@ wk AS (SELECT file, import_text, string_split(regexp_replace(file, '[^/]*$', '')
   UNION ALL SELECT file, import_text, ps, i + 1, CASE WHEN ps[i + 1] IN ('', '.') THEN acc WHEN ps[i + 1] = '..' THEN acc[:greatest(len(acc) - 1, 0)] ELSE list_append(acc, ps[i + 1]) END FROM wk WHERE i < len(ps)),
 cd AS (SELECT file, import_text, unnest(list_transform({'[' + ', '.join(repr(x) for x in IMPORT_SUFFIXES) + ']'}, lambda s: array_to_string(acc, '/') || s)) AS target FROM wk WHERE i = len(ps))
 SELECT file, import_text, min(target) AS target FROM cd WHERE target IN (SELECT file FROM hd) GROUP BY ALL""",
-    "state_references": _BASE + _STATE_REFS + "SELECT file, line, path, ref_kind FROM sr",
-    "state_writers": _BASE + _STATE_REFS + "SELECT file, line, path FROM sr WHERE ref_kind = 'write' AND (contains(lower(path), 'value') OR contains(lower(file), 'value')) ORDER BY file, line, path LIMIT 50",
-    "state_readers": _BASE + _STATE_REFS + "SELECT file, line, path FROM sr WHERE ref_kind = 'read' ORDER BY file, line, path LIMIT 50",
+    "state_references": _BASE + _STATE_REFS + "SELECT file, CAST(line AS INT) AS line, path, ref_kind FROM sr",
+    "state_writers": _BASE + _STATE_REFS + "SELECT file, CAST(line AS INT) AS line, path FROM sr WHERE ref_kind = 'write' AND (contains(lower(path), 'value') OR contains(lower(file), 'value')) ORDER BY file, line, path LIMIT 50",
+    "state_readers": _BASE + _STATE_REFS + "SELECT file, CAST(line AS INT) AS line, path FROM sr WHERE ref_kind = 'read' ORDER BY file, line, path LIMIT 50",
     "changed_files": _BASE + _STATES + "SELECT file, state FROM states",
     "method_diff": _BASE
     + _gen(1, "g1")
