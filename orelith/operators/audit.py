@@ -23,6 +23,8 @@ ISSUE_KINDS = {
     "orphan-vector": ("vectors", "medium"),
     "vector-mismatch": ("vectors", "medium"),
 }
+GRAM = 6  # letters by which tests and looked-for names meet
+
 # ---- fixed values: extensions by language; text files always count
 EXTENSIONS = {"typescript": [".ts", ".tsx"], "javascript": [".js", ".jsx", ".mjs", ".cjs"], "csharp": [".cs"], "text": [".md", ".mdx", ".txt"]}
 
@@ -77,17 +79,24 @@ def test_candidates(files: DataFrame, targets: DataFrame, most: int = 8) -> Data
 
     files: (project, file); targets: (target, project, file, symbols array<string>). 20 for a test path, 50 more if it
     holds the target's base name, 30 more if it holds a word of three or more letters of a symbol; the best eight, ties by file.
-    Only test paths meet the targets, inside a project.
+
+    Targets meet only tests that share the first letters (up to six) of a name they look for, by an equi join on letter
+    runs of the test's path; the names are then looked up in full. Of the tests without a match only a project's first
+    eight can be among the best, so no target is paired with all tests of its project.
     """
     base = F.regexp_replace(F.regexp_replace("file", r"^.*/", ""), r"\.[^.]*$", "")
     words = F.filter(F.array_distinct(F.flatten(F.transform("symbols", symbol_parts))), lambda t: F.length(t) >= 3)
-    t = targets.select("target", "project", F.lower(strip_test_words(base)).alias("_base"), words.alias("_words"))
+    look = F.concat(F.array(F.struct(F.lit(50).alias("worth"), F.lower(strip_test_words(base)).alias("key"))), F.transform(words, lambda w: F.struct(F.lit(30).alias("worth"), w.alias("key"))))
+    asked = targets.select("target", "project", F.explode(look).alias("k")).select("target", "project", "k.*").where(F.col("key") != "").withColumn("_g", F.substring("key", 1, GRAM))
     tests = files.where(is_test_path("file")).select("project", "file", F.lower(strip_test_words(F.col("file"))).alias("_hay")).distinct()
-    pairs = t.join(tests, "project")
-    score = F.lit(20) + F.when((F.col("_base") != "") & F.col("_hay").contains(F.col("_base")), 50).otherwise(0) + F.when(F.exists("_words", lambda w: F.col("_hay").contains(w)), 30).otherwise(0)
-    scored = pairs.select("target", "file", score.alias("score"))
+    runs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_hay") - n + 1, F.lit(1))), lambda i: F.substring(F.col("_hay"), i, n)))))
+    found = tests.select("project", "file", "_hay", F.explode(runs).alias("_g")).join(asked, ["project", "_g"]).where(F.col("_hay").contains(F.col("key")))
+    scored = found.groupBy("target", "file").agg((F.lit(20) + F.max(F.when(F.col("worth") == 50, 50).otherwise(0)) + F.max(F.when(F.col("worth") == 30, 30).otherwise(0))).alias("score"))
+    first = tests.withColumn("r", F.row_number().over(Window.partitionBy("project").orderBy("file"))).where(F.col("r") <= most).groupBy("project").agg(F.collect_list("file").alias("fs"))
+    plain = targets.select("target", "project").distinct().join(first, "project").select("target", F.explode("fs").alias("file"), F.lit(20).alias("score"))
+    all_scored = scored.unionByName(plain).groupBy("target", "file").agg(F.max("score").alias("score"))
     w = Window.partitionBy("target").orderBy(F.desc("score"), "file")
-    top = scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
+    top = all_scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
     return top.withColumn("confidence", F.when(F.col("score") >= 70, "high").when(F.col("score") >= 45, "medium").otherwise("low"))
 
 
