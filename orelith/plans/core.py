@@ -13,6 +13,8 @@ from orelith.operators import audit, graph, incremental, notes, search, sections
 from orelith.operators.snapshots import completed_ranks, latest_by
 from orelith.plans import relations
 from orelith.session import table
+from orelith.sources import extract
+from orelith.sources.providers import HashingEmbedder, embed_frame
 
 QUERY, PATTERN, NOTE, WORDS, WORD = "kettle", "^(get|find)[A-Z]\\w+(be|bi)", "timeout", ["token", "timeout"], "count"
 
@@ -434,7 +436,25 @@ def language_histogram(spark, sf):
     return h.groupBy("project", F.element_at(F.split("file", "/"), 2).alias("top_dir"), extension("file").alias("ext")).agg(F.count("*").alias("n_files"))
 
 
-_NAMES = """text_chunks markdown_sections file_checksum symbol_identity duplicate_identity identifier_split search_terms compact_token normalize_query intent_class
+# -- what only Python can do: rows without SQL, tested on fixtures
+
+def code_extract(spark, sf):
+    h = extract.headers(relations.files(spark, sf))
+    return h.select("file", "lang", F.size("classes").alias("n_classes"), F.size("methods").alias("n_methods"), F.size("imports").alias("n_imports"), F.size("exports").alias("n_exports"))
+
+
+def extracted_calls(spark, sf):
+    """Distinct call references of every extracted method."""
+    h = extract.headers(relations.files(spark, sf)).select("file", F.explode("methods").alias("m"))
+    return h.select("file", F.col("m.name").alias("name"), F.col("m.loc").alias("loc"), F.explode("m.refs").alias("ref"))
+
+
+def hashing_embed(spark, sf):
+    said = vector_text(spark, sf).select(F.col("id").alias("key"), F.col("vector_text").alias("text"))
+    return embed_frame(said, HashingEmbedder()).select(F.col("key").alias("id"), F.size("vector").alias("n_dims"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 3).alias("squared_length"))
+
+
+_NAMES = """code_extract extracted_calls hashing_embed text_chunks markdown_sections file_checksum symbol_identity duplicate_identity identifier_split search_terms compact_token normalize_query intent_class
 symbol_intent path_keywords vector_text class_vector_text search_content meta_infer reference_keys selector_set expand_loc symbol_parts exact_search exact_tiers regex_search
 postings lexical_bm25 document_bm25 memory_lexical vector_knn vector_knn_typed embedding_knn hybrid_search hybrid_typed result_clusters batch_search file_scoped_search files_list
 memory_list memory_before memory_hint memory_scope callers callees refs_depth trace symbol_resolve import_resolution state_references state_writers state_readers changed_files

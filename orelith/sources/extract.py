@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orelith.functions.paths import extension
-from orelith.session import widen
 
 CLASS = "struct<name:string,loc:string,ns:string,extends_name:string,implements:array<string>,decorators:array<string>,visibility:string>"
 METHOD = "struct<name:string,class:string,loc:string,sig:string,refs:array<string>,decorators:array<string>,visibility:string,is_async:boolean,is_static:boolean>"
@@ -192,7 +191,7 @@ def headers(files: DataFrame) -> DataFrame:
     """files (file, text) to HEADER rows; files without a parser are left out, null texts give empty headers, ids are added later."""
     parsers = dict(_PARSERS)
     langs = {".cs": "csharp", ".ts": "typescript", ".tsx": "typescript"}
-    known = widen(files.select("file", "text", extension("file").alias("_ext")).where(F.col("_ext").isin(list(parsers))))
+    known = files.select("file", "text", extension("file").alias("_ext")).where(F.col("_ext").isin(list(parsers)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
