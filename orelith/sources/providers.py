@@ -117,3 +117,37 @@ def embed_frame(texts: DataFrame, embedder: Embedder, batch: int = 64) -> DataFr
             yield pd.DataFrame({"key": pdf["key"], "vector": vectors})
 
     return texts.select("key", "text").mapInPandas(run, "key string, vector array<float>")
+
+
+def selected_ids(answer: str, known: list[str]) -> list[str]:
+    """Ids a model chose: the list under selectedIds or ids of its JSON, else of the first braces in the text, else known ids in the order in which they are mentioned."""
+    import json
+
+    for part in (answer, *(m.group() for m in [re.search(r"\{[\s\S]*\}", answer)] if m)):
+        try:
+            said = json.loads(part)
+        except ValueError:
+            continue
+        ids = said.get("selectedIds") or said.get("ids") if isinstance(said, dict) else None
+        if isinstance(ids, list):
+            return list(dict.fromkeys(str(i) for i in ids if str(i) in known))
+    return sorted((i for i in known if i in answer), key=answer.index)
+
+
+def insights(answer: str) -> dict[str, str]:
+    """Insight by method id from lines `1. kind:id: text`; lines without such an id are skipped."""
+    out = {}
+    for line in answer.splitlines():
+        if m := re.match(r"\s*(?:\d+\.\s*)?([^:\s]+:[^:\s]+):\s*(\S.*)$", line):
+            out[m.group(1)] = m.group(2).strip()
+    return out
+
+
+def rerank_prompt(query: str, candidates: list[dict]) -> str:
+    rows = "\n".join(f"{c['id']} | {c.get('type')} | {c.get('file')} | {c.get('sig') or c.get('name') or ''}" for c in candidates)
+    return f'Question: {query}\nCandidates, one a line as id | kind | file | signature:\n{rows}\nAnswer with JSON {{"selectedIds": [...]}}, best first, using only ids from above.'
+
+
+def insight_prompt(methods: list[dict]) -> str:
+    rows = "\n\n".join(f"{m['id']}\n{m['code']}" for m in methods)
+    return f"Say in one short sentence what each method below is for. Answer one line a method, as its id, a colon and the sentence.\n\n{rows}"
