@@ -58,11 +58,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def widen(df: DataFrame) -> DataFrame:
-    """Spreads an input that arrived in fewer splits than there are cores; a larger one is left as it lies."""
+    """Spreads an input that arrived in fewer splits than there are cores; a larger one is left as it lies. For frames that come straight from a scan: counting the partitions of a shuffled one would run its shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash partitions by cols, as many as the session shuffles into or has cores: a later grouping by cols moves nothing, and work on its rows keeps all cores busy."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *cols)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once per application, where they cannot import it from their own path."""
     sc = spark.sparkContext
