@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from orelith.functions.paths import extension
 from orelith.llm.grammar import LANGUAGE_OF, lex, pairs
-from orelith.session import materialise, widen
+from orelith.session import materialise, spread
 
 
 def permissible(spark: SparkSession) -> DataFrame:
@@ -28,7 +28,7 @@ def token_rows(files: DataFrame) -> DataFrame:
     Only files with a known extension; a file that comes twice counts once, with its greatest text; a null text is blank.
     """
     known = files.where(F.col("repo").isNotNull() & F.col("file").isNotNull()).withColumn("ext", extension("file")).where(F.col("ext").isin(list(LANGUAGE_OF)))
-    one = widen(known.groupBy("repo", "file", "ext").agg(F.max("text").alias("text")))
+    one = known.groupBy("repo", "file", "ext").agg(F.max("text").alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -50,11 +50,11 @@ def syntax_errors(files: DataFrame) -> DataFrame:
 
     The token arrays are shuffled once, by file; rows of a file are then made and reduced inside its partition.
     """
-    lexed = materialise(token_rows(files).repartition("repo", "file"), "tokens")
+    lexed = materialise(token_rows(files), "tokens")
     spark = files.sparkSession
     key = ["repo", "file", "lang"]
     bad = lexed.where("lexical <> ''").select(*key, F.lit("lexical").alias("error"))
-    rows = lexed.where("lexical = ''").repartition("repo", "file").select(*key, F.posexplode(F.arrays_zip("toks", "brks")).alias("pos", "t")).select(*key, "pos", F.col("t.toks").alias("cls"), F.col("t.brks").alias("before"))
+    rows = spread(lexed.where("lexical = ''"), "repo", "file").select(*key, F.posexplode(F.arrays_zip("toks", "brks")).alias("pos", "t")).select(*key, "pos", F.col("t.toks").alias("cls"), F.col("t.brks").alias("before"))
     line = Window.partitionBy("repo", "file").orderBy("pos")
     opens, closes = F.col("cls").isin("(", "[", "{"), F.col("cls").isin(")", "]", "}")
     seen = rows.select(
