@@ -46,11 +46,8 @@ def _any(conditions: list[Column]) -> Column:
     return out
 
 
-def exact_search(symbols: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """Symbols that contain the query literally, in any case, in any field; adds tier and score.
-
-    Two stages: the best max(50 limit, 200) rows by tier, shortest file and name, then the best `limit` by score; ties by file, name, id.
-    """
+def exact_matches(symbols: DataFrame, query: str) -> DataFrame:
+    """Every symbol that contains the query literally, in any case, in any field; adds tier. Nothing is cut or ordered."""
     q = query.lower().strip()
     rows = with_list_text(symbols).where(_any([f.contains(q) for f in searched_fields()]))
     name, cls = _low("name"), _low("class")
@@ -58,7 +55,15 @@ def exact_search(symbols: DataFrame, query: str, limit: int = 20) -> DataFrame:
         F.when(name == q, 0).when(cls == q, 1).when((_low(_qualified(".")) == q) | (_low(_qualified("#")) == q), 2).when(_low(_qualified(".", "namespace")) == q, 3)
         .when(name.startswith(q), 4).when(cls.startswith(q), 5).when(_low("sig").contains(q), 6).when(_low("file").contains(q), 7).when(_low("insight").contains(q), 8).when(_low("refs_json").contains(q), 9).otherwise(20)
     )
-    first = rows.withColumn("tier", tier).orderBy("tier", F.length("file"), "name", "id").limit(max(50 * limit, 200))
+    return rows.withColumn("tier", tier)
+
+
+def exact_search(symbols: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """The best of `exact_matches`; adds score.
+
+    Two stages: the best max(50 limit, 200) rows by tier, shortest file and name, then the best `limit` by score; ties by file, name, id.
+    """
+    first = exact_matches(symbols, query).orderBy("tier", F.length("file"), "name", "id").limit(max(50 * limit, 200))
     return first.withColumn("score", exact_score(query)).orderBy(F.desc("score"), "file", "name", "id").limit(limit)
 
 

@@ -131,8 +131,8 @@ def exact_search(spark, sf):
 
 
 def exact_tiers(spark, sf):
-    """How many symbols fall into each tier."""
-    s = search.exact_search(_symbols(spark, sf), "er", 1 << 20)
+    """How many symbols fall into each tier, over all that match."""
+    s = search.exact_matches(_symbols(spark, sf), "er")
     return s.groupBy(F.col("tier").cast("int").alias("tier")).agg(F.count("*").alias("n_symbols"))
 
 
