@@ -1,8 +1,9 @@
 """Source files that nobody wrote by hand: data, minified, generated and vendored files, told by their names.
 
-Character n-gram models of identifiers are trained per language on all files. Mangled names carry no letters the model
-expects, template-like names differ in their running numbers only, and the declared names of a foreign source follow a
-style that is rare in the collection. Comments and folder names are not evidence.
+Character n-gram models of identifiers are trained per language on the files that are not data, packed or generated by
+themselves. Mangled names carry no letters the model expects, template-like names differ in their running numbers only,
+and the declared names of a foreign source follow a style that is rare among the sources of the collection. Comments and
+folder names are not evidence.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ _STATEMENTS = set("function return if for while switch try var let const foreach
 _JS_DECLARED = re.compile(r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)|\bclass\s+([A-Za-z_$][\w$]*)|^[ \t]*(?:(?:public|private|protected|static|async|get|set|readonly)\s+)*([A-Za-z_$][\w$]*)\s*\([^()\n]*(?:\([^()\n]*\)[^()\n]*)*\)\s*(?::[^{;\n]+)?\{", re.M)
 _CS_DECLARED = re.compile(r"\b(?:class|interface|struct|record|enum)\s+([A-Za-z_]\w*)|^[ \t]*(?:(?:public|private|protected|internal|static|async|override|virtual|sealed|partial|readonly)\s+)+[\w<>\[\],.? ]+?\s+([A-Za-z_]\w*)\s*[({\n=;]", re.M)
 _NO_NAME = set("if for while switch catch function return".split())
-_FEATURES = "repo string, file string, lang string, sha string, names array<string>, declared array<string>, short double, literal double, statements int, shapes double"
+_FEATURES = "repo string, file string, lang string, sha string, source string, clean boolean, styles array<string>, names array<string>, declared array<string>, short double, literal double, statements int, shapes double"
 
 
 def features(text: str, lang: str) -> tuple[list[str], list[str], float, float, int, float]:
@@ -63,13 +64,29 @@ def style(name: str) -> str:
     return f"{case}{'_' if '_' in name.strip('_') else ''}{'00' if len(tail) > 1 else '0' if tail else ''}"
 
 
+def is_data(literal: float, statements: int) -> bool:
+    return literal >= LITERAL_SHARE and not statements
+
+
+def is_templated(names: list[str], shapes: float) -> bool:
+    numbered = sum(bool(re.search(r"\d\d", n)) for n in names)
+    return len(names) >= MIN_NAMES and numbered >= TEMPLATE_SHARE * len(names) and shapes <= SHAPE_SHARE
+
+
+def clean(names: list[str], short: float, literal: float, statements: int, shapes: float) -> bool:
+    """Whether a file may train the models: it is neither data nor generated, and too few names are short for a minified one."""
+    return not (is_data(literal, statements) or is_templated(names, shapes) or short >= SHORT_SHARE)
+
+
 def file_classes(files: DataFrame) -> DataFrame:
     """(repo, file, lang, file_class) of files (repo, file, text) with a known extension; file_class null: hand-written.
 
     data: values or an encoded blob; minified: packed script with mangled names; generated: names out of a template;
     vendored: declared names in a style foreign to the collection. Null and empty texts are hand-written. A file that
-    comes twice is judged once, by its greatest text. Each distinct text trains the models once, so that copies of one
-    file cannot shift them. The models are sums over all files: trigram counts and style counts per language.
+    comes twice is judged once, by its greatest text. Each distinct text trains the trigrams once, and files that declare
+    the same names are one source, which counts once for a style however often it was copied or edited inside; a library
+    of many different files counts with each of them. Files that are data, minified or generated train neither; only
+    where a language has no others do they train its trigrams.
     """
     spark = files.sparkSession
     known = files.where(F.col("repo").isNotNull() & F.col("file").isNotNull()).withColumn("ext", extension("file")).where(F.col("ext").isin(list(LANGUAGE_OF)))
@@ -82,23 +99,28 @@ def file_classes(files: DataFrame) -> DataFrame:
             rows = []
             for repo, file, ext, text in zip(pdf["repo"], pdf["file"], pdf["ext"], pdf["text"], strict=True):
                 lang = LANGUAGE_OF[ext]
-                rows.append((repo, file, lang, hashlib.sha1((text or "").encode("utf-8", "surrogatepass")).hexdigest(), *features(text or "", lang)))
-            yield pd.DataFrame(rows, columns=["repo", "file", "lang", "sha", "names", "declared", "short", "literal", "statements", "shapes"])
+                names, declared, *rest = features(text or "", lang)
+                own = "\n".join(sorted(set(declared)))
+                sha, source = (hashlib.sha1(x.encode("utf-8", "surrogatepass")).hexdigest() for x in (text or "", own))
+                rows.append((repo, file, lang, sha, source, clean(names, *rest), sorted({style(n) for n in declared}), names, declared, *rest))
+            yield pd.DataFrame(rows, columns=["repo", "file", "lang", "sha", "source", "clean", "styles", "names", "declared", "short", "literal", "statements", "shapes"])
 
     seen = materialise(one.mapInPandas(read, _FEATURES), "names")
-    texts = seen.dropDuplicates(["lang", "sha"]).select("lang", "names", "declared", "short", "literal", "statements")
+    texts = seen.dropDuplicates(["lang", "sha"]).select("lang", "clean", "names")
+    sources = seen.where("clean AND size(declared) > 0").select("lang", "source", "styles").dropDuplicates(["lang", "source"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
         for pdf in batches:
-            for lang, names, declared in zip(pdf["lang"], pdf["names"], pdf["declared"], strict=True):
+            for lang, trains, names in zip(pdf["lang"], pdf["clean"], pdf["names"], strict=True):
                 for n in names:
-                    total.update((lang, "gram", g) for g in grams(n))
-                total.update((lang, "style", s) for s in {style(n) for n in declared})
-                total[(lang, "files", "")] += bool(len(declared))
+                    total.update((lang, "gram" if trains else "spare", g) for g in grams(n))
+                total[(lang, "texts", "")] += 1
         yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["lang", "kind", "what", "n"])
 
-    model = texts.mapInPandas(count, "lang string, kind string, what string, n long").groupBy("lang", "kind", "what").agg(F.sum("n").alias("n")).toPandas()  # bounded by the alphabet
+    trigrams = texts.mapInPandas(count, "lang string, kind string, what string, n long").groupBy("lang", "kind", "what").agg(F.sum("n").alias("n"))
+    styles = sources.select("lang", F.lit("style").alias("kind"), F.explode(F.array_union(F.array(F.lit("")), "styles")).alias("what")).groupBy("lang", "kind", "what").agg(F.count("*").alias("n"))
+    model = trigrams.unionByName(styles).toPandas()  # bounded by the alphabet
     shared = spark.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,7 +137,8 @@ class Model:
 
     def __init__(self, counts: pd.DataFrame):
         of = lambda kind: dict(zip(counts["what"][counts["kind"] == kind], counts["n"][counts["kind"] == kind].astype(int), strict=True))
-        self.gram, self.style, self.files = of("gram"), of("style"), max(1, of("files").get("", 1))
+        self.gram, self.style = of("gram") or of("spare"), of("style")
+        self.sources = max(1, self.style.pop("", 1))
         self.context: Counter = Counter()
         for g, n in self.gram.items():
             self.context[g[:2]] += n
@@ -126,17 +149,16 @@ class Model:
         return sum(-math.log2((self.gram.get(g, 0) + 0.1) / (self.context[g[:2]] + 6)) for g in gs) / len(gs)
 
     def foreign(self, name: str) -> bool:
-        """Whether few files of the language declare a name of this style."""
-        return -math.log2((self.style.get(style(name), 0) + 0.5) / (self.files + 1)) >= FOREIGN_BITS
+        """Whether few sources of the language declare a name of this style."""
+        return -math.log2((self.style.get(style(name), 0) + 0.5) / (self.sources + 1)) >= FOREIGN_BITS
 
     def judge(self, names, declared, short: float, literal: float, statements: int, shapes: float) -> str | None:
         names, declared = list(names), list(declared)
-        if literal >= LITERAL_SHARE and not statements:
+        if is_data(literal, statements):
             return "data"
         if short >= SHORT_SHARE and names and sum(map(self.bits, names)) / len(names) >= MANGLED_BITS:
             return "minified"
-        numbered = sum(bool(re.search(r"\d\d", n)) for n in names)
-        if len(names) >= MIN_NAMES and numbered >= TEMPLATE_SHARE * len(names) and shapes <= SHAPE_SHARE:
+        if is_templated(names, shapes):
             return "generated"
         if len(declared) >= MIN_DECLARED and sum(map(self.foreign, declared)) >= FOREIGN_SHARE * len(declared):
             return "vendored"

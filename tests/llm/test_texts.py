@@ -113,6 +113,18 @@ def test_file_classes(spark):
     assert file_classes(spark.createDataFrame([], "repo string, file string, text string")).count() == 0
 
 
+def test_vendored_third_and_minified_third(spark):
+    verbs, nouns = ["load", "merge", "apply", "find", "parse"], ["Alpha", "Bravo", "Carol", "Delta", "Echo", "Fox", "Golf", "Hotel", "India", "Julia", "Kilo", "Lima"]
+    hand = "export class %sQueue {\n  async load%sPart(id) {\n    const total = Number(id) + 1;\n    if (total > 3) { this.save%sItem(total); }\n    return total;\n  }\n  save%sItem(value) { return value; }\n}\n"
+    lib = "\n".join(f"function {v}Thing{i}(id, opts) {{\n  let next = id + opts;\n  return next;\n}}" for i, v in enumerate(verbs))
+    mini = "!function(){" + "".join(f"function {c}{i}(a,b){{var c=a||{{}};return b>{i}?c.k:a.p(b)}}" for i, c in enumerate("abcdefghij")) + "}();"
+    files = [(f"r{i % 6}", f"h{i}.js", hand % ((n,) * 4)) for i, n in enumerate(nouns)]
+    files += [(f"r{i % 6}", f"lib{i}.js", f"{lib}\nlet patch{n} = {i};\n") for i, n in enumerate(nouns)]  # one source, edited in every copy
+    files += [(f"r{i % 6}", f"m{i}.js", f"{mini}var z{i}={i};") for i in range(12)]
+    got = {r["file"]: r["file_class"] for r in file_classes(spark.createDataFrame(files, "repo string, file string, text string")).collect()}
+    assert {f: c for f, c in got.items() if c} == {f"lib{i}.js": "vendored" for i in range(12)} | {f"m{i}.js": "minified" for i in range(12)}
+
+
 WORDS = {"law": "court verdict notary statute hearing bailiff", "food": "kettle recipe dough broth oven pantry", "sport": "goalkeeper league referee sprint relay trophy"}
 FILL = ["Nothing else to do here.", "Run the whole suite before you push.", "Please keep lines short."]
 TEMPLATES = ["The {a} of a {b} is rounded only at the end.", "Since then the {a} is linked with its {b} by key.", "Reading the {a} twice is cheap while writing the {b} is not.", "Merging two {a} entries keeps the older {b}."]
