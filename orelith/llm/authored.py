@@ -1,8 +1,8 @@
 """Source files that nobody wrote by hand: data, minified, generated and vendored files, told by their names.
 
 Character n-gram models of identifiers are trained per language on the files that are not data, packed or generated by
-themselves. Mangled names carry no letters the model expects, template-like names differ in their running numbers only,
-and the declared names of a foreign source follow a style that is rare among the sources of the collection. Comments and
+themselves. Mangled names carry no letters the model expects, template-like names differ in a running number or one word
+only, and the declared names of a foreign source follow a style that is rare among the sources of the collection. Comments and
 folder names are not evidence.
 """
 
@@ -23,7 +23,7 @@ from orelith.session import materialise
 
 LITERAL_SHARE = 0.6  # of a data file's characters outside comments
 SHORT_SHARE, MANGLED_BITS = 0.6, 2.0  # of a minified file's names; least bits a character
-TEMPLATE_SHARE, SHAPE_SHARE, MIN_NAMES = 0.5, 0.4, 6  # of a generated file's names; most distinct line shapes
+TEMPLATE_SHARE, SHAPE_SHARE, MIN_NAMES = 0.5, 0.4, 6  # of a generated file's names; most distinct line shapes; least names, also of one template
 FOREIGN_SHARE, FOREIGN_BITS, MIN_DECLARED = 0.6, 2.5, 3  # of a vendored file's declared names
 
 _TOKEN = re.compile(r"/\*[\s\S]*?(?:\*/|$)|//[^\n]*|`(?:[^`\\]|\\[\s\S])*`|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[^\W\d][\w$]*|\d[\w.]*|\S")
@@ -33,6 +33,7 @@ _STATEMENTS = set("function return if for while switch try var let const foreach
 _JS_DECLARED = re.compile(r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)|\bclass\s+([A-Za-z_$][\w$]*)|^[ \t]*(?:(?:public|private|protected|static|async|get|set|readonly)\s+)*([A-Za-z_$][\w$]*)\s*\([^()\n]*(?:\([^()\n]*\)[^()\n]*)*\)\s*(?::[^{;\n]+)?\{", re.M)
 _CS_DECLARED = re.compile(r"\b(?:class|interface|struct|record|enum)\s+([A-Za-z_]\w*)|^[ \t]*(?:(?:public|private|protected|internal|static|async|override|virtual|sealed|partial|readonly)\s+)+[\w<>\[\],.? ]+?\s+([A-Za-z_]\w*)\s*[({\n=;]", re.M)
 _NO_NAME = set("if for while switch catch function return".split())
+_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^A-Za-z\d]")
 _FEATURES = "repo string, file string, lang string, sha string, source string, clean boolean, styles array<string>, names array<string>, declared array<string>, short double, literal double, statements int, shapes double"
 
 
@@ -68,9 +69,24 @@ def is_data(literal: float, statements: int) -> bool:
     return literal >= LITERAL_SHARE and not statements
 
 
+def templates(name: str) -> set[tuple]:
+    """What is left of a name of several parts when its numbers are masked, alone and with each of its words in turn."""
+    parts = ["0" if p.isdigit() else p for p in _PARTS.findall(name)]
+    head, tail = [0], [0]  # hashes of the parts before and behind, so that a name of any length takes linear time
+    for a, b in zip(parts, reversed(parts), strict=True):
+        head.append(hash((head[-1], a)))
+        tail.append(hash((tail[-1], b)))
+    n = len(parts)
+    return ({(n, head[-1])} if "0" in parts else set()) | {(n, i, head[i], tail[n - 1 - i]) for i, p in enumerate(parts) if n > 1 and p.isalpha()}
+
+
 def is_templated(names: list[str], shapes: float) -> bool:
-    numbered = sum(bool(re.search(r"\d\d", n)) for n in names)
-    return len(names) >= MIN_NAMES and numbered >= TEMPLATE_SHARE * len(names) and shapes <= SHAPE_SHARE
+    """Whether lines repeat and most names follow templates, each shared by several names: few templates a name."""
+    if len(names) < MIN_NAMES or shapes > SHAPE_SHARE:
+        return False
+    each = [templates(n) for n in names]
+    held = Counter(t for ts in each for t in ts)
+    return sum(any(held[t] >= MIN_NAMES for t in ts) for ts in each) >= TEMPLATE_SHARE * len(names)
 
 
 def clean(names: list[str], short: float, literal: float, statements: int, shapes: float) -> bool:

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from orelith.llm.authored import features, file_classes, style
+from orelith.llm.authored import features, file_classes, is_templated, style, templates
 from orelith.llm.grammar import lex, pairs
 from orelith.llm.history import History, lcs, restates
 from orelith.llm.subjects import document_subjects, repaired, sentences, subject_counts
@@ -125,6 +125,16 @@ def test_vendored_third_and_minified_third(spark):
     assert {f: c for f, c in got.items() if c} == {f"lib{i}.js": "vendored" for i in range(12)} | {f"m{i}.js": "minified" for i in range(12)}
 
 
+def test_generated_by_any_template():
+    words = ["Alpha", "Bravo", "Carol", "Delta", "Echo", "Fox", "Golf", "Hotel", "India"]
+    single = "\n".join(f"function get{i}(s0) {{\n  return table[{i}];\n}}" for i in range(1, 10))
+    stubs = "\n".join(f"function get{w}Stub(s) {{\n  return call{w}(s);\n}}" for w in words)
+    own = "\n".join(f"function {v}(row) {{\n  return row.{w};\n}}" for v, w in zip(["open", "closeAll", "readLine", "send", "tidy", "mapRow", "sumUp", "countOf", "drop"], words, strict=True))
+    kinds = [is_templated(f[0], f[5]) for f in (features(t, "js") for t in (single, stubs, own))]
+    assert kinds == [True, True, False]
+    assert len(templates("aB" * 100_000)) == 100_001 and templates("run") == set() and templates("get1") & templates("get27")
+
+
 WORDS = {"law": "court verdict notary statute hearing bailiff", "food": "kettle recipe dough broth oven pantry", "sport": "goalkeeper league referee sprint relay trophy"}
 FILL = ["Nothing else to do here.", "Run the whole suite before you push.", "Please keep lines short."]
 TEMPLATES = ["The {a} of a {b} is rounded only at the end.", "Since then the {a} is linked with its {b} by key.", "Reading the {a} twice is cheap while writing the {b} is not.", "Merging two {a} entries keeps the older {b}."]
