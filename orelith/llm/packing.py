@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from orelith.session import materialise, widen
 
 DEAL = 20_000  # pieces that one task packs together
-ROUNDS = 3  # passes of local search over the underfull bins
+ROUNDS = math.inf  # passes of local search over the underfull bins: until one changes nothing
 FULL = 0.98  # a bin filled to this share is left alone
 
 
@@ -105,7 +106,7 @@ def _packer(stage: str, last: bool):
     return run
 
 
-def pack_group(sizes: list[int], cap: int, rounds: int = ROUNDS) -> list[list[int]]:
+def pack_group(sizes: list[int], cap: int, rounds: float = ROUNDS) -> list[list[int]]:
     """Bins as lists of positions in sizes (descending, each < cap or = cap)."""
     room: list[tuple[int, int]] = []  # (free, bin), sorted
     bins: list[list[int]] = []
@@ -121,9 +122,8 @@ def pack_group(sizes: list[int], cap: int, rounds: int = ROUNDS) -> list[list[in
             bins[b].append(i)
             load[b] += s
         bisect.insort(room, (cap - load[b], b))
-    for _ in range(rounds):
-        if not _improve(bins, load, sizes, cap):
-            break
+    while rounds > 0 and _improve(bins, load, sizes, cap):
+        rounds -= 1
     return [b for b in bins if b]
 
 
@@ -167,20 +167,11 @@ def _improve(bins: list[list[int]], load: list[int], sizes: list[int], cap: int)
                     better = True
                     continue
             # one for one, and two for one: this item into b, smaller ones of b back into a
-            for f, b in reversed(free[max(0, at - 8) : at]):
+            for f, b in reversed(free[:at]):
                 if b == a or load[b] < load[a] or not bins[b]:
                     continue
-                best = None
-                small = sorted((j for j in bins[b] if sizes[j] < s), key=lambda j: sizes[j])[-12:]
-                for x, j in enumerate(small):
-                    gain = s - sizes[j]
-                    if gain <= f and (best is None or gain > best[0]):
-                        best = (gain, (j,))
-                    for k in small[:x]:
-                        gain = s - sizes[j] - sizes[k]
-                        if 0 < gain <= f and (best is None or gain > best[0]):
-                            best = (gain, (j, k))
-                if best and best[0] > 0:
+                best = _exchange(s, f, bins[b], sizes)
+                if best:
                     gain, back = best
                     give(i, a, b)
                     for j in back:
@@ -190,3 +181,19 @@ def _improve(bins: list[list[int]], load: list[int], sizes: list[int], cap: int)
                     better = True
                     break
     return better
+
+
+def _exchange(s: int, f: int, members: list[int], sizes: list[int]) -> tuple[int, tuple[int, ...]] | None:
+    """(gain, items given back) of the best exchange of an item of size s for one or two smaller ones of a bin with f free."""
+    small = sorted((j for j in members if sizes[j] < s), key=lambda j: sizes[j])
+    of = [sizes[j] for j in small]
+    best = None
+    # what is given back must be at least s - f, and as little above as there is, below s
+    x = bisect.bisect_left(of, s - f)
+    if x < len(of):
+        best = (s - of[x], (small[x],))
+    for x, one in enumerate(of):
+        y = bisect.bisect_left(of, s - f - one, x + 1)
+        if y < len(of) and of[y] < s - one and (best is None or s - one - of[y] > best[0]):
+            best = (s - one - of[y], (small[x], small[y]))
+    return best

@@ -102,6 +102,14 @@ def test_local_search_empties_bins():
     assert sorted(i for b in bins for i in b) == list(range(9)) and len(bins) == 4 and all(sum(sizes[i] for i in b) <= 10 for b in bins)
 
 
+def test_local_search_goes_on_while_it_helps():
+    for seed, most in ((743, 14), (934, 18), (1918, 8)):
+        rnd = random.Random(seed)
+        sizes = sorted((rnd.randrange(10, 60) for _ in range(rnd.randrange(20, 60))), reverse=True)
+        bins = pack_group(sizes, 100)
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and len(bins) <= most and all(sum(sizes[i] for i in b) <= 100 for b in bins)
+
+
 def test_token_counts(spark):
     d = spark.createDataFrame([(1, "hello world", 9), (2, None, 9), (3, "", 9), (4, "ş" * 50_000, 9), (1, "hello", 9)], "doc_id long, text string, n_tokens int")
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts(d, tokenizer_path()).collect()}
