@@ -60,7 +60,7 @@ def debounced(events: DataFrame, gap_seconds: int) -> DataFrame:
 
 
 def manifest_history(manifests: DataFrame, keep: int = 21) -> DataFrame:
-    """The latest generation and up to 20 before it; older ones are marked for compaction. A small table."""
+    """The latest generation and up to 20 before it, which are marked as candidates for compaction; older ones are left out. A small table."""
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc("started_at"), F.desc("generation_id"))
     ranked = manifests.dropDuplicates(["generation_id"]).withColumn("age", F.row_number().over(w) - 1)
-    return ranked.where(F.col("age") < keep).withColumn("is_latest", F.col("age") == 0)
+    return ranked.where(F.col("age") < keep).withColumns({"is_latest": F.col("age") == 0, "compaction": F.col("age") > 0})
