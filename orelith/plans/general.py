@@ -91,4 +91,10 @@ def p7_descendants(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy(F.col("tree").alias("repo"), F.col("ancestor").alias("class_name")).agg(F.count("*").alias("n_descendants"), F.max("distance").alias("height"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_changed_fields, p2_found, p2_by_month, p7_found, p7_descendants)}
+def p7_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every class with each of its descendants."""
+    d = descendants(hierarchy(_classes(spark, sf)))
+    return d.select(F.col("tree").alias("repo"), F.col("ancestor").alias("class_name"), F.col("node").alias("descendant"), F.col("distance").cast("int").alias("distance"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_changed_fields, p2_found, p2_by_month, p7_found, p7_descendants, p7_pairs)}

@@ -60,6 +60,9 @@ up AS (
   UNION SELECT u.repo, u.node, b.parent FROM up u JOIN bad b ON u.repo = b.repo AND u.at = b.node)
 """
 
+_STEPS = """, steps AS (SELECT repo, node, depth, unnest(string_split(path, '>')) AS anc, generate_subscripts(string_split(path, '>'), 1) - 1 AS pos FROM walk)
+"""
+
 SQL = {
     "p1_found": _CHANGES + "SELECT repo, file, generation_id, change_kind FROM change",
     "p1_changed_fields": _CHANGES
@@ -72,7 +75,8 @@ SQL = {
   SELECT repo, node, root, depth, path, 'tree' AS state FROM walk
   UNION ALL SELECT b.repo, b.node, '', -1, '', CASE WHEN EXISTS (SELECT 1 FROM up u WHERE u.repo = b.repo AND u.node = b.node AND u.at = b.node) THEN 'cycle' ELSE 'below-cycle' END FROM bad b)
 SELECT repo, node AS class_name, root AS root_name, CAST(depth AS INT) AS node_depth, path AS node_path, state AS node_state FROM solved""",
+    "p7_pairs": _TREES + _STEPS + "SELECT repo, anc AS class_name, node AS descendant, CAST(depth - pos AS INT) AS distance FROM steps WHERE pos < depth",
     "p7_descendants": _TREES
-    + """, steps AS (SELECT repo, node, depth, unnest(string_split(path, '>')) AS anc, generate_subscripts(string_split(path, '>'), 1) - 1 AS pos FROM walk)
-SELECT repo, anc AS class_name, count(*) AS n_descendants, CAST(max(depth - pos) AS INT) AS height FROM steps WHERE pos < depth GROUP BY ALL""",
+    + _STEPS
+    + """SELECT repo, anc AS class_name, count(*) AS n_descendants, CAST(max(depth - pos) AS INT) AS height FROM steps WHERE pos < depth GROUP BY ALL""",
 }
