@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orelith.functions.moments import month_of
+from orelith.session import materialise
 
 ALWAYS = 2**62
 PARENTS_PER_RANGE = 100_000
-REFS_PER_TASK = 400_000
+RANGES_PER_CORE = 4  # at least
+PARTITIONS_PER_CORE = 16  # at most; a partition holds neighbouring ranges one after the other
+DRAWN = 20  # keys drawn per range to place the bounds
 
 
-def dangling(refs: DataFrame, parents: DataFrame, raw_refs: DataFrame | None = None) -> DataFrame:
+def dangling(refs: DataFrame, parents: DataFrame) -> DataFrame:
     """Distinct rows (src, record_id, ref_key, reason, ref_month) of references that resolve to no parent.
 
     refs: (src, space, record_id, ref_key, moment) and parents: (space, parent_key, valid_from, valid_to), moments in
@@ -24,44 +27,50 @@ def dangling(refs: DataFrame, parents: DataFrame, raw_refs: DataFrame | None = N
     is looked up as parent_key in its space. A reference or parent without a key, and a parent without valid_from, takes
     no part. A reference without a moment can only be `missing`; its month is null.
 
-    Keys are hashed and the hash space is cut into equal ranges. A range's parents become sorted arrays, the references
-    stream past them in Arrow batches and are probed by binary search; equal hashes are settled by the keys themselves.
-    A range with many references (one hot key) is split over several tasks, each with its own copy of the range's
-    arrays: the number of splits comes from a count of raw_refs (or refs), so no task grows with a hot key.
+    Keys are partitioned into ranges of their order; the bounds are quantiles of keys drawn from all references and from
+    the distinct parent keys. A range's parents become sorted arrays, the references stream past them in Arrow batches
+    and are probed by binary search over the keys' hashes; equal hashes are settled by the keys themselves. A key that
+    holds many references takes up several bounds: its references are dealt to all the ranges between, each with its own
+    copy of the key's parents, so no task grows with a hot key. Both inputs are read once.
     """
-    hashed = F.xxhash64("space", "ref_key")
+    miss = _routed(refs, parents).mapInPandas(_probe, "src string, record_id string, ref_key string, reason string, moment long")
+    return miss.select("src", "record_id", "ref_key", "reason", month_of(F.col("moment")).alias("ref_month")).distinct()
+
+
+def _routed(refs: DataFrame, parents: DataFrame) -> DataFrame:
+    """Parents and references by range (part), parents first."""
     spark = refs.sparkSession
-    parents = (
-        parents.where(F.col("parent_key").isNotNull() & F.col("valid_from").isNotNull())
-        .select("space", F.col("parent_key").alias("ref_key"), "valid_from", F.coalesce("valid_to", F.lit(ALWAYS)).alias("valid_to"))
-        .distinct()
-    )
-    n_parents = parents.count()
     cores = spark.sparkContext.defaultParallelism
-    ranges = int(min(1 << 16, max(2 * cores, -(-n_parents // PARENTS_PER_RANGE))))
-    width = (1 << 64) // ranges + 1
-
-    def range_of(h):
-        # h / width over the signed range, in exact decimals
-        return F.floor((h.cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")) / F.lit(str(width)).cast("decimal(20,0)")).cast("int")
-
-    keyed = (raw_refs if raw_refs is not None else refs).where(F.col("ref_key").isNotNull())
-    counted = {r["r"]: r["n"] for r in keyed.groupBy(range_of(hashed).alias("r")).agg(F.count("*").alias("n")).collect()}  # one row per range
-    splits = [max(1, -(-counted.get(r, 0) // REFS_PER_TASK)) for r in range(ranges)]
-    first = np.concatenate([[0], np.cumsum(splits)]).astype(int).tolist()
-    n_splits, start = F.lit(splits), F.lit(first[:-1])
-    r = range_of(F.col("h"))
+    full_key, hashed = F.concat_ws("\u0001", "space", "ref_key").alias("full_key"), F.xxhash64("space", "ref_key").alias("h")
+    parents = parents.where(F.col("parent_key").isNotNull() & F.col("valid_from").isNotNull())
+    # of the parents of one key that start together only the longest matters
+    parents = parents.groupBy("space", F.col("parent_key").alias("ref_key"), "valid_from").agg(F.max(F.coalesce("valid_to", F.lit(ALWAYS))).alias("valid_to"))
+    parents = materialise(parents, "parents")
+    refs = materialise(refs.where(F.col("ref_key").isNotNull()).select("src", "space", "record_id", "ref_key", "moment"), "references")
+    n_parents = parents.count()
+    ranges = max(RANGES_PER_CORE * cores, -(-n_parents // PARENTS_PER_RANGE))
+    share = min(1.0, DRAWN * ranges / max(1, n_parents + refs.count()))
+    low = F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))
+    drawn = refs.where(F.xxhash64("src", "record_id", "ref_key") <= low).select(full_key).unionAll(parents.where(hashed <= low).select(full_key).distinct())
+    drawn = sorted(r[0] for r in drawn.collect())  # about DRAWN keys a range
+    bounds = spark.sparkContext.broadcast(np.array([drawn[len(drawn) * i // ranges] for i in range(1, ranges)] if drawn else [], object))
+
+    @F.pandas_udf("first int, last int")
+    def place(key: pd.Series) -> pd.DataFrame:
+        key = key.to_numpy(object)
+        return pd.DataFrame({"first": np.searchsorted(bounds.value, key, "left").astype("int32"), "last": np.searchsorted(bounds.value, key, "right").astype("int32")})
+
+    first, last = F.col("at.first"), F.col("at.last")
     side_p = (
-        parents.withColumn("h", hashed).withColumn("r", r)
-        .select(F.explode(F.sequence(F.get(start, F.col("r")), F.get(start, F.col("r")) + F.get(n_splits, F.col("r")) - 1)).alias("part"), F.lit(0).alias("is_ref"), "h", F.concat_ws("\u0001", "space", "ref_key").alias("full_key"), F.col("valid_from").alias("a"), F.col("valid_to").alias("b"), F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("record_id"), F.lit(None).cast("string").alias("ref_key"))
+        parents.select(full_key, hashed, F.col("valid_from").alias("a"), F.col("valid_to").alias("b")).withColumn("at", place("full_key"))
+        .select(F.explode(F.sequence(first, last)).alias("part"), F.lit(0).alias("is_ref"), "h", "full_key", "a", "b", F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("record_id"), F.lit(None).cast("string").alias("ref_key"))
     )
     side_r = (
-        refs.where(F.col("ref_key").isNotNull()).withColumn("h", hashed).withColumn("r", r)
-        .select((F.get(start, F.col("r")) + F.pmod(F.xxhash64("src", "record_id"), F.get(n_splits, F.col("r")))).cast("int").alias("part"), F.when(F.col("moment").isNull(), 2).otherwise(1).alias("is_ref"), "h", F.concat_ws("\u0001", "space", "ref_key").alias("full_key"), F.coalesce("moment", F.lit(0)).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "src", "record_id", "ref_key")
+        refs.select("*", full_key, hashed).withColumn("at", place("full_key"))
+        .select((first + F.pmod(F.xxhash64("src", "record_id"), last - first + 1)).cast("int").alias("part"), F.when(F.col("moment").isNull(), 2).otherwise(1).alias("is_ref"), "h", "full_key", F.coalesce("moment", F.lit(0)).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "src", "record_id", "ref_key")
     )
-    both = side_p.unionByName(side_r).repartitionById(first[-1], F.col("part")).sortWithinPartitions("part", "is_ref")
-    miss = both.mapInPandas(_probe, "src string, record_id string, ref_key string, reason string, moment long")
-    return miss.distinct().select("src", "record_id", "ref_key", "reason", month_of(F.col("moment")).alias("ref_month")).distinct()
+    partitions = min(ranges, PARTITIONS_PER_CORE * cores)
+    return side_p.unionByName(side_r).repartitionById(partitions, F.floor(F.col("part") * (partitions / ranges)).cast("int")).sortWithinPartitions("part", "is_ref")
 
 
 class _Range:

@@ -56,8 +56,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     ids = symbols.select(F.lit("i").alias("space"), F.col("id").alias("parent_key"), "valid_from", "valid_to")
     kinds = table(spark, sf, "issue_kinds").select(F.lit("k").alias("space"), F.col("kind").alias("parent_key"), wall_micros("introduced_at").alias("valid_from"), wall_micros("retired_at").alias("valid_to"))
     refs = h_refs.unionByName(memories).unionByName(issues)
-    sizes = exploded(heads).drop("generation_id").unionByName(memories.drop("moment")).unionByName(issues.drop("moment"))
-    return dangling(refs, methods.unionByName(ids).unionByName(kinds), sizes)
+    return dangling(refs, methods.unionByName(ids).unionByName(kinds))
 
 
 def p2_by_month(spark: SparkSession, sf: str) -> DataFrame:

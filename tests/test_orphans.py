@@ -40,12 +40,14 @@ def test_random_intervals_and_nulls(spark):
     check(spark, refs[:5], [])
 
 
-def test_hot_key_is_split_and_whole(spark, monkeypatch):
-    monkeypatch.setattr(orphans, "REFS_PER_TASK", 100)
-    r = spark.range(2000).select(F.lit("s").alias("src"), F.lit("p").alias("space"), F.col("id").cast("string").alias("record_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("ref_key"), F.lit(5).cast("long").alias("moment"))
+def test_hot_key_is_split_and_whole(spark):
+    r = spark.range(6000).select(F.lit("s").alias("src"), F.lit("p").alias("space"), F.col("id").cast("string").alias("record_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("ref_key"), F.lit(5).cast("long").alias("moment"))
     p = spark.createDataFrame([("p", "hot", 9, None)], "space string, parent_key string, valid_from long, valid_to long")
-    out = dangling(r.unionByName(r), p)
-    assert out.where("ref_key = 'hot' AND reason = 'late'").count() == 667 and out.count() == 2000
+    r = r.unionByName(r)
+    out = dangling(r, p)
+    assert out.where("ref_key = 'hot' AND reason = 'late'").count() == 2000 and out.count() == 6000
+    per = {x["part"]: x["count"] for x in orphans._routed(r, p).where("is_ref > 0").groupBy("part").count().collect()}
+    assert sum(per.values()) == 12_000 and len(per) >= 12 and max(per.values()) < 2500  # 4000 of the references share a key
 
 
 def test_equal_hashes_are_told_apart():
