@@ -10,6 +10,7 @@ import re
 from functools import cache
 
 # ---- fixed values: file extensions of each language
+ELEMENT_EXTENSIONS = (".tsx", ".jsx")
 LANGUAGE_OF = {".ts": "ts", ".tsx": "ts", ".js": "js", ".jsx": "js", ".mjs": "js", ".cjs": "js", ".cs": "cs"}
 # ---- fixed values: reserved words; contextual words may also be names
 JS_RESERVED = set("break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof new return super switch this throw try typeof var void while with null true false enum".split())
@@ -30,100 +31,187 @@ _STRING = {q: re.compile(q + r"(?:[^\\\n\r" + q + r"]|\\(?:\r\n|[\s\S]))*" + q)
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[a-zA-Z]*")
 _DECORATOR = re.compile(r"@[^\W\d][\w$]*(?:\.[^\W\d][\w$]*)*")
 _CHAR = re.compile(r"'(?:[^'\\\n\r]|\\[^\n\r][0-9a-fA-F]{0,8})'")
+_LINE = re.compile(r"[^\r\n\u2028\u2029]*")
+_CS_OPEN = re.compile(r'(?:\$@|@\$|@|\$+)"')
+_KEYED = re.compile(r"\s*:(?!:)")
+_ELEMENT = re.compile(r"<(?:\s*([A-Za-z_$][\w$.:-]*)(?=[\s/>{])(?!\s*,|\s+extends\b)|(?=>)())")
+_CLOSE_TAG = re.compile(r"</\s*([A-Za-z_$][\w$.:-]*|)\s*>")
+_BLANKS = re.compile(r"(?:\s|/\*[\s\S]*?\*/|//[^\n]*)*")
+_ATTRIBUTE = re.compile(r"[A-Za-z_$][\w$.:-]*(\s*=\s*)?")
+_VALUE = re.compile(r"\"[^\"]*\"|'[^']*'")
+_TEXT = re.compile(r"[^<{}>]*")
 _BEFORE_REGEX = set("( , = : [ ! & | ? { } ; + - * % < > ~ ^ => && || ?? == != === !== += -= *= /= return typeof case in of do else void delete throw instanceof new await yield BOF".split())
 
 
-def lex(text: str, lang: str) -> tuple[list[str], list[bool], str]:
+def lex(text: str, lang: str, jsx: bool = False) -> tuple[list[str], list[bool], str]:
     """(token classes, whether a line break stands before each, '' or the lexical error).
 
-    Classes: id, num, str, tpl, re, deco, the reserved or contextual word itself, or the punctuator. A byte-order mark at the start is skipped.
+    Classes: id, num, str, tpl, re, deco, jsx, the reserved or contextual word itself, or the punctuator. A byte-order mark at
+    the start is skipped. With jsx, an element is one jsx token followed by its holes, each as tokens between round brackets.
     """
-    if text.startswith("﻿"):
-        text = text[1:]
+    out: list[str] = []
+    breaks: list[bool] = []
+    i = 0
+    if text.startswith("\ufeff"):
+        i = 1
+    if lang != "cs" and text.startswith("#!", i):
+        i = text.find("\n") if "\n" in text else len(text)
+    _, error = _scan(text, i, lang, jsx, out, breaks, False)
+    return out, breaks, error
+
+
+def _scan(text: str, i: int, lang: str, jsx: bool, out: list[str], breaks: list[bool], hole: bool) -> tuple[int, str]:
+    """Appends the tokens from i on, in a hole up to its closing bracket; (where it stopped, error)."""
     js = lang != "cs"
     reserved, contextual = (JS_RESERVED, TS_CONTEXTUAL if lang == "ts" else JS_CONTEXTUAL) if js else (CS_RESERVED, CS_CONTEXTUAL | CS_TYPES)
     punct = _JS_PUNCT_RE if js else _CS_PUNCT_RE
-    out: list[str] = []
-    breaks: list[bool] = []
-    i, n, fresh = 0, len(text), False
-    if js and text.startswith("#!"):
-        i = text.find("\n") if "\n" in text else n
+    n, fresh, depth = len(text), False, 0
     while i < n:
         c = text[i]
-        if c in "\r\n  ":
+        if c in "\r\n\u2028\u2029":
             fresh = True
             i += 1
             continue
-        if m := _SPACE.match(text, i):
-            i = m.end()
+        if c == "\ufeff" or (c.isspace() and (m := _SPACE.match(text, i))):
+            i = i + 1 if c == "\ufeff" else m.end()
             continue
-        if c == "﻿":
-            i += 1
-            continue
-        if text.startswith("//", i):
-            while i < n and text[i] not in "\r\n":
-                i += 1
+        if c == "/" and text.startswith("//", i):
+            i = _LINE.match(text, i).end()
             continue
-        if text.startswith("/*", i):
+        if c == "/" and text.startswith("/*", i):
             end = text.find("*/", i + 2)
             if end < 0:
-                return out, breaks, "comment without end"
-            fresh = fresh or "\n" in text[i:end]
+                return i, "comment without end"
+            fresh = fresh or text.find("\n", i, end) >= 0
             i = end + 2
             continue
         if not js and c == "#" and (fresh or not out):
-            while i < n and text[i] not in "\r\n":
-                i += 1
+            i = _LINE.match(text, i).end()
             continue
         kind = None
-        if not js and (m := re.compile(r'(?:\$@|@\$|@|\$+)"').match(text, i)):
+        if not js and c in '$@' and (m := _CS_OPEN.match(text, i)):
             end = _cs_string(text, m)
             if end < 0:
-                return out, breaks, "string without end"
+                return i, "string without end"
             kind, i = "str", end
-        elif not js and text.startswith('"""', i):
+        elif not js and c == '"' and text.startswith('"""', i):
             end = text.find('"""', i + 3)
             if end < 0:
-                return out, breaks, "string without end"
+                return i, "string without end"
             kind, i = "str", end + 3
         elif c == '"' or (c == "'" and js):
             if not (m := _STRING[c].match(text, i)):
-                return out, breaks, "string without end"
+                return i, "string without end"
             kind, i = "str", m.end()
         elif c == "'":
             if not (m := _CHAR.match(text, i)):
-                return out, breaks, "bad character literal"
+                return i, "bad character literal"
             kind, i = "str", m.end()
         elif c == "`" and js:
             end = _template(text, i)
             if end < 0:
-                return out, breaks, "template without end"
+                return i, "template without end"
             kind, i = "tpl", end
         elif c.isdigit() or (c == "." and i + 1 < n and text[i + 1].isdigit()):
             m = _NUMBER.match(text, i)
             kind, i = "num", m.end()
             if _NAME.match(text, i):
-                return out, breaks, "name right after a number"
+                return i, "name right after a number"
         elif (m := _NAME.match(text, i)) or (not js and c == "@" and (m := _NAME.match(text, i + 1))):
             word = m.group()
             i = m.end()
-            prior = out[-1] if out else "BOF"
-            as_name = prior in (".", "?.") or (js and re.compile(r"\s*:(?!:)").match(text, i) is not None and prior in ("{", ","))
-            kind = word if (word in reserved or word in contextual) and not as_name and c != "@" else "id"
-            if not js and kind in CS_TYPES:
-                kind = "type"
+            kind = "id"
+            if (word in reserved or word in contextual) and c != "@":
+                prior = out[-1] if out else "BOF"
+                as_name = prior in (".", "?.") or (js and prior in ("{", ",") and _KEYED.match(text, i) is not None)
+                kind = "id" if as_name else "type" if not js and word in CS_TYPES else word
+        elif jsx and c == "<" and (out[-1] if out else "BOF") in _BEFORE_REGEX and _ELEMENT.match(text, i):
+            out.append("jsx")
+            breaks.append(fresh)
+            fresh = False
+            i, error = _element(text, i, lang, out, breaks)
+            if error:
+                return i, error
+            continue
         elif c == "/" and js and (out[-1] if out else "BOF") in _BEFORE_REGEX and (m := _REGEX.match(text, i)):
             kind, i = "re", m.end()
-        elif lang == "ts" and (m := _DECORATOR.match(text, i)):
+        elif lang == "ts" and c == "@" and (m := _DECORATOR.match(text, i)):
             kind, i = "deco", m.end()
         elif m := punct.match(text, i):
             kind, i = m.group(), m.end()
+            if hole:
+                depth += (kind == "{") - (kind == "}")
+                if depth < 0:
+                    return i, ""
         else:
-            return out, breaks, "no token of this language"
+            return i, "no token of this language"
         out.append(kind)
         breaks.append(fresh)
         fresh = False
-    return out, breaks, ""
+    return i, "element without end" if hole else ""
+
+
+def _element(text: str, i: int, lang: str, out: list[str], breaks: list[bool]) -> tuple[int, str]:
+    """Reads an element with all inside it from its < on; (its end, error)."""
+    open_tags: list[str] = []
+
+    def read_hole(i: int) -> tuple[int, str]:
+        out.append("(")
+        breaks.append(False)
+        i, error = _scan(text, i, lang, True, out, breaks, True)
+        out.append(")")
+        breaks.append(False)
+        return i, error
+
+    while True:
+        if text.startswith("</", i):
+            m = _CLOSE_TAG.match(text, i)
+            if not m or not open_tags or open_tags.pop() != m.group(1):
+                return i, "elements that do not close in order"
+            i = m.end()
+        else:
+            m = _ELEMENT.match(text, i)
+            if not m:
+                return i, "bad element"
+            i = m.end()
+            while True:  # attributes
+                i = _BLANKS.match(text, i).end()
+                if text.startswith("/>", i):
+                    i += 2
+                    break
+                if text.startswith(">", i):
+                    open_tags.append(m.group(1) or "")
+                    i += 1
+                    break
+                if text.startswith("{", i):
+                    i, error = read_hole(i + 1)
+                    if error:
+                        return i, error
+                    continue
+                a = _ATTRIBUTE.match(text, i)
+                if not a:
+                    return i, "bad element"
+                i = a.end()
+                if a.group(1) and text.startswith("{", i):
+                    i, error = read_hole(i + 1)
+                    if error:
+                        return i, error
+                elif a.group(1):
+                    v = _VALUE.match(text, i)
+                    if not v:
+                        return i, "bad element"
+                    i = v.end()
+        while open_tags:  # children up to the next tag
+            i = _TEXT.match(text, i).end()
+            if not text.startswith("{", i):
+                break
+            i, error = read_hole(i + 1)
+            if error:
+                return i, error
+        if not open_tags:
+            return i, ""
+        if i >= len(text) or text[i] != "<":
+            return i, "bad element"
 
 
 def _template(text: str, i: int) -> int:
@@ -231,7 +319,7 @@ Expr1 = Unit | Unit Op Expr1 | Unit ? Expr1 : Expr1 | Arrow
 Op = + | - | * | / | % | ** | << | >> | >>> | < | > | <= | >= | == | != | === | !== | & | ^ | BAR | && | BAR2 | ?? | in | instanceof | = | += | -= | *= | /= | %= | **= | <<= | >>= | >>>= | &= | ^= | BAR= | &&= | BAR2= | ??=
 Unit = Prefix Unit | Primary Post* | new Unit
 Prefix = ! | ~ | + | - | ++ | -- | typeof | void | delete | await | yield | yield *
-Primary = id | num | str | tpl | re | this | super | null | true | false | ( Expr ) | [ Elems? ] | Object | async? function *? id? Generic? ( Params? ) Returns? Block | Class | import | # id
+Primary = id | num | str | tpl | re | jsx | this | super | null | true | false | ( Expr ) | [ Elems? ] | Object | async? function *? id? Generic? ( Params? ) Returns? Block | Class | import | # id
 Post = . id | . # id | ?. id | ?. ( Args? ) | ?. [ Expr ] | [ Expr ] | ( Args? ) | tpl | ++ | --
 Args = Arg | Arg , | Arg , Args
 Arg = Expr1 | ... Expr1

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orelith.functions.paths import extension
-from orelith.llm.grammar import LANGUAGE_OF, lex, pairs
+from orelith.llm.grammar import ELEMENT_EXTENSIONS, LANGUAGE_OF, lex, pairs
 from orelith.session import materialise, spread
 
 
@@ -34,7 +34,7 @@ def token_rows(files: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for repo, file, ext, text in zip(pdf["repo"], pdf["file"], pdf["ext"], pdf["text"], strict=True):
-                toks, brks, lexical = lex(text or "", LANGUAGE_OF[ext])
+                toks, brks, lexical = lex(text or "", LANGUAGE_OF[ext], ext in ELEMENT_EXTENSIONS)
                 rows.append((repo, file, LANGUAGE_OF[ext], ["BOF", *toks, "EOF"], [True, *brks, True], lexical))
             yield pd.DataFrame(rows, columns=["repo", "file", "lang", "toks", "brks", "lexical"])
 
@@ -67,11 +67,12 @@ def syntax_errors(files: DataFrame) -> DataFrame:
     # the level of a bracket is that of what stands around it
     level = seen.withColumn("level", F.when(opens, F.col("after") - 1).otherwise(F.col("after")))
     same = Window.partitionBy("repo", "file", "level").orderBy("pos")
-    ahead = same.rowsBetween(1, Window.unboundedFollowing)
+    # what comes next on a level is a running value of the reversed order, so that a level of any length takes linear time
+    ahead = Window.partitionBy("repo", "file", "level").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
     bracket = F.last(F.when(opens | closes, F.col("cls")), ignorenulls=True).over(same.rowsBetween(Window.unboundedPreceding, -1))
     must = F.col("cls").isin("class", "interface", "enum", "struct", "switch", "try") | ((F.col("cls") == "function") & (F.col("lang") == "js"))
-    stop = F.first(F.when(F.col("cls").isin("{", ";", "EOF", "}"), F.col("cls")), ignorenulls=True).over(ahead)
-    source = F.first(F.when(F.col("cls").isin("str", "(", ".", "=", ";", "EOF"), F.col("cls")), ignorenulls=True).over(ahead)
+    stop = F.last(F.when(F.col("cls").isin("{", ";", "EOF", "}"), F.col("cls")), ignorenulls=True).over(ahead)
+    source = F.last(F.when(F.col("cls").isin("str", "(", ".", "=", ";", "EOF"), F.col("cls")), ignorenulls=True).over(ahead)
     looked = level.select(*key, "cls", "p1", "p2", "p3", "nxt", "after", "pos", bracket.alias("open"), stop.alias("stop"), source.alias("source"), F.lead("cls", 3).over(same).alias("third"))
     opener = F.when(F.col("cls") == ")", "(").when(F.col("cls") == "]", "[").otherwise("{")
     tangled = (closes & ~F.col("open").eqNullSafe(opener)) | (F.col("after") < 0) | ((F.col("cls") == "EOF") & (F.col("after") != 0))
