@@ -1,20 +1,22 @@
-"""Filling fixed-capacity containers: best fit, then local search by moves and swaps, then a second deal of what stays underfull."""
+"""Filling fixed-capacity containers by swap-based local search.
+
+Pieces are laid into containers as they come; moves, one-for-one and two-for-one swaps between underfull containers that
+raise the sum of squared fills then empty containers one after the other. What stays underfull is dealt and searched again.
+"""
 
 from __future__ import annotations
 
 import bisect
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orelith.session import materialise, widen
 
-DEAL = 20_000  # pieces that one task packs together
-ROUNDS = math.inf  # passes of local search over the underfull bins: until one changes nothing
-FULL = 0.98  # a bin filled to this share is left alone
+DEAL = 4_000  # pieces that are packed together
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -56,11 +58,12 @@ def pack(items: DataFrame, windows: DataFrame, deal: int = DEAL) -> DataFrame:
     unknown size lie in a container like others, taking no room. A window without a positive capacity is left out.
 
     Full pieces fill their container alone. The others are dealt at random into groups of about `deal` pieces, each
-    packed by best fit in decreasing order and improved by local search. Bins that are still underfull are dealt again,
-    now several groups' together, so that about one bad bin per second-level group remains.
+    packed by local search (`pack_group`). The pieces of bins that are not full are dealt once more, now several groups'
+    together, so that less than about one bin's room stays unused per second-level group.
     """
     spark = items.sparkSession
     wins = [(r["window_name"], int(r["capacity"])) for r in windows.where("capacity > 0").select("window_name", "capacity").distinct().collect()]  # a handful of capacities
+    items = materialise(items.select("doc_id", "n_tokens"), "sizes")  # texts are tokenised once
     n = items.count()
     if not wins:
         return spark.createDataFrame([], "window_name string, capacity int, bin_id string, doc_id long, piece_no int, n_tokens long")
@@ -79,7 +82,7 @@ def pack(items: DataFrame, windows: DataFrame, deal: int = DEAL) -> DataFrame:
     once = materialise(loose.groupBy("window_name", "deal").applyInPandas(_packer("a", groups == 1), schema), "packed")
     out = full.unionByName(once.where("done").drop("done"))
     if groups > 1:
-        # a group leaves few underfull bins; as many groups' together as fill a deal again
+        # as many groups' underfull bins together as fill a deal again
         left = once.where("NOT done").drop("bin_id", "done")
         share = max(1, -(-left.count() // (deal * len(wins))))
         again = left.withColumn("deal", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(1)), F.lit(share)).cast("int")).groupBy("window_name", "deal").applyInPandas(_packer("b", True), schema)
@@ -89,111 +92,176 @@ def pack(items: DataFrame, windows: DataFrame, deal: int = DEAL) -> DataFrame:
 
 def _packer(stage: str, last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_tokens", "doc_id", "piece_no"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        cap, group = int(pdf["capacity"].iloc[0]), int(pdf["deal"].iloc[0])
-        bins = pack_group(pdf["n_tokens"].astype(int).tolist(), cap)
-        own = [0] * len(pdf)
-        load = [0] * len(bins)
-        for b, members in enumerate(bins):
-            for i in members:
-                own[i] = b
-                load[b] += int(pdf["n_tokens"].iat[i])
+        mixed = pdf["doc_id"].to_numpy(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pdf["piece_no"].to_numpy(np.int64).astype(np.uint64)
+        pdf = pdf.iloc[np.argsort(mixed, kind="stable")]  # in an order that has nothing to do with the sizes and is the same in every run
+        cap, group = int(pdf["capacity"].iat[0]), int(pdf["deal"].iat[0])
+        sizes = pdf["n_tokens"].tolist()
+        own = np.zeros(len(pdf), np.int64)
+        done = np.zeros(len(pdf), bool)
+        for b, members in enumerate(pack_group(sizes, cap)):
+            own[members] = b
+            done[members] = last or sum(sizes[i] for i in members) == cap
         return pd.DataFrame({
             "window_name": pdf["window_name"], "capacity": pdf["capacity"], "bin_id": [f"{stage}-{group}-{b}" for b in own], "doc_id": pdf["doc_id"],
-            "piece_no": pdf["piece_no"], "n_tokens": pdf["n_tokens"], "done": [last or load[b] >= FULL * cap for b in own],
+            "piece_no": pdf["piece_no"], "n_tokens": pdf["n_tokens"], "done": done,
         })
 
     return run
 
 
-def pack_group(sizes: list[int], cap: int, rounds: float = ROUNDS) -> list[list[int]]:
-    """Bins as lists of positions in sizes (descending, each < cap or = cap)."""
-    room: list[tuple[int, int]] = []  # (free, bin), sorted
-    bins: list[list[int]] = []
-    load: list[int] = []
-    for i, s in enumerate(sizes):
-        at = bisect.bisect_left(room, (s, -1))
-        if at == len(room):
-            b = len(bins)
-            bins.append([i])
-            load.append(s)
-        else:
-            _, b = room.pop(at)
-            bins[b].append(i)
-            load[b] += s
-        bisect.insort(room, (cap - load[b], b))
-    while rounds > 0 and _improve(bins, load, sizes, cap):
-        rounds -= 1
-    return [b for b in bins if b]
-
-
-def _improve(bins: list[list[int]], load: list[int], sizes: list[int], cap: int) -> bool:
-    """One pass over the underfull bins, emptiest first: its items are moved, swapped one for one or two for one into
-    other underfull bins wherever that raises the sum of squared fills, until it is empty or nothing helps."""
-    open_bins = sorted((b for b in range(len(bins)) if bins[b] and load[b] < FULL * cap), key=lambda b: load[b])
-    if sum(load[b] for b in open_bins) > (len(open_bins) - 1) * cap:
-        return False  # no bin can be emptied
-    better = False
-    # items of the open bins by size: for a swap the item that fills best is found by binary search
-    entries = sorted((sizes[i], i, b) for b in open_bins for i in bins[b])
-    where = {i: b for _, i, b in entries}
-    free = sorted((cap - load[b], b) for b in open_bins)
-
-    def set_load(b: int, new: int) -> None:
-        free.pop(bisect.bisect_left(free, (cap - load[b], b)))
-        load[b] = new
-        bisect.insort(free, (cap - new, b))
-
-    def give(i: int, a: int, b: int) -> None:
-        bins[a].remove(i)
-        bins[b].append(i)
-        where[i] = b
-
-    for a in open_bins:
-        for i in sorted(bins[a], key=lambda i: -sizes[i]):
-            if where[i] != a:
-                continue
-            s = sizes[i]
-            # move: the tightest open bin that takes it and is at least as full as what stays behind
-            at = bisect.bisect_left(free, (s, -1))
-            while at < len(free) and free[at][1] == a:
+def pack_group(sizes: list[int], cap: int) -> list[list[int]]:
+    """Bins as lists of positions in sizes, each 0 to cap.
+
+    The search starts from the pieces as they come. Where it ends above the least number of bins that the sizes allow, it
+    starts again from best fit in decreasing order, and the better end counts.
+    """
+    some = [i for i, s in enumerate(sizes) if s > 0]
+    search = Search([sizes[i] for i in some], cap)
+    search.run()
+    if len(search.room) > search.least:
+        falling = sorted(some, key=lambda i: -sizes[i])
+        again = Search([sizes[i] for i in falling], cap, tight=True)
+        again.run()
+        if len(again.room) < len(search.room):
+            some, search = falling, again
+    bins = [[some[i] for i in b] for b in search.bins if b]
+    none = [i for i, s in enumerate(sizes) if s <= 0]
+    if none:
+        bins = bins or [[]]
+        bins[0] += none  # what has no size lies anywhere
+    return bins
+
+
+class Search:
+    """A packing under local search; starts with every piece in the last bin opened (or, tight, in the fullest that takes it), or a new one where it does not fit."""
+
+    def __init__(self, sizes: list[int], cap: int, tight: bool = False):
+        self.sizes, self.cap = sizes, cap
+        self.least = -(-sum(sizes) // cap)
+        self.bins: list[list[int]] = []
+        self.load: list[int] = []
+        self.of: list[int] = []
+        self.room: list[tuple[int, int]] = []  # free room of every bin in use, sorted
+        for i, s in enumerate(sizes):
+            at = bisect.bisect_left(self.room, (s, -1)) if tight else len(self.room)
+            b = self.room[at][1] if at < len(self.room) else len(self.bins) - 1
+            if not self.bins or self.load[b] + s > cap:
+                b = len(self.bins)
+                self.bins.append([])
+                self.load.append(0)
+            self.bins[b].append(i)
+            self.of.append(b)
+            self._fill(b, s)
+
+    def run(self) -> None:
+        """Until no smaller number of bins is possible or nothing helps. Every step raises the sum of squared fills, or
+        keeps it and takes one piece of an underfull bin apart into two, so the search ends."""
+        while len(self.room) > self.least:
+            if not self._pass() and not self._split():
+                break
+
+    def _underfull(self) -> list[int]:
+        return sorted((b for f, b in self.room if f), key=lambda b: self.load[b])
+
+    def _pass(self) -> bool:
+        """Every underfull bin once, emptiest first."""
+        better = False
+        for a in self._underfull():
+            if 0 < self.load[a] < self.cap:
+                better |= self._drain(a)
+            if 0 < self.load[a] < self.cap:
+                better |= self._swap(a)
+        return better
+
+    def _fill(self, b: int, by: int) -> None:
+        if self.load[b]:
+            self.room.pop(bisect.bisect_left(self.room, (self.cap - self.load[b], b)))
+        self.load[b] += by
+        if self.load[b]:
+            bisect.insort(self.room, (self.cap - self.load[b], b))
+
+    def _give(self, i: int, a: int, b: int) -> None:
+        self.bins[a].remove(i)
+        self.bins[b].append(i)
+        self.of[i] = b
+
+    def _move(self, i: int, a: int, b: int) -> int:
+        s, grown = self.sizes[i], 2 * self.sizes[i] * (self.load[b] - self.load[a] + self.sizes[i])
+        self._give(i, a, b)
+        self._fill(a, -s)
+        self._fill(b, s)
+        return grown
+
+    def _drain(self, a: int) -> bool:
+        """Moves the pieces of a, largest first, each into the tightest bin that takes it; undone if squared fill has not grown by all of them."""
+        grown, moved = 0, []
+        for i in sorted(self.bins[a], key=lambda i: -self.sizes[i]):
+            at = bisect.bisect_left(self.room, (self.sizes[i], -1))
+            if at < len(self.room) and self.room[at][1] == a:
                 at += 1
-            if at < len(free):
-                b = free[at][1]
-                if load[b] + s > load[a]:  # squared fill grows
-                    give(i, a, b)
-                    set_load(a, load[a] - s)
-                    set_load(b, load[b] + s)
-                    better = True
-                    continue
-            # one for one, and two for one: this item into b, smaller ones of b back into a
-            for f, b in reversed(free[:at]):
-                if b == a or load[b] < load[a] or not bins[b]:
-                    continue
-                best = _exchange(s, f, bins[b], sizes)
-                if best:
-                    gain, back = best
-                    give(i, a, b)
-                    for j in back:
-                        give(j, b, a)
-                    set_load(a, load[a] - gain)
-                    set_load(b, load[b] + gain)
-                    better = True
-                    break
-    return better
+            if at < len(self.room):
+                b = self.room[at][1]
+                grown += self._move(i, a, b)
+                moved.append((i, b))
+        if grown <= 0:
+            for i, b in reversed(moved):
+                self._move(i, b, a)
+        return grown > 0
+
+    def _swap(self, a: int) -> bool:
+        """Gives each piece of a, largest first, to the bin where it fills most against one or two smaller ones."""
+        better = False
+        for i in sorted(self.bins[a], key=lambda i: -self.sizes[i]):
+            best, s = None, self.sizes[i]
+            for f, b in reversed(self.room[: bisect.bisect_left(self.room, (s, -1))]):
+                if f == 0 or (best and best[0] >= f):
+                    break  # no bin from here on can be filled by more
+                if b != a and self.load[b] >= self.load[a]:
+                    found = _exchange(s, f, self.bins[b], self.sizes)
+                    if found and (best is None or found[0] > best[0]):
+                        best = (found[0], b, found[1])
+            if best:
+                gain, b, back = best
+                for j in back:
+                    self._give(j, b, a)
+                self._give(i, a, b)
+                self._fill(a, -gain)
+                self._fill(b, gain)
+                better = True
+        return better
+
+    def _split(self) -> bool:
+        """Swaps pieces of underfull bins for two of a full one that have the same size together: fills stay, but small pieces come free."""
+        pairs: dict[int, list[tuple[int, int, int]]] = {}
+        for b, members in enumerate(self.bins):
+            if self.load[b] == self.cap:
+                for x, j in enumerate(members):
+                    for k in members[x + 1 :]:
+                        pairs.setdefault(self.sizes[j] + self.sizes[k], []).append((j, k, b))
+        better = False
+        for a in self._underfull():
+            for i in sorted(self.bins[a], key=lambda i: -self.sizes[i]):
+                for j, k, b in pairs.get(self.sizes[i], ()):
+                    if self.of[j] == self.of[k] == b:
+                        for x, old, new in ((j, b, a), (k, b, a), (i, a, b)):
+                            self._give(x, old, new)
+                        better = True
+                        break
+        return better
 
 
 def _exchange(s: int, f: int, members: list[int], sizes: list[int]) -> tuple[int, tuple[int, ...]] | None:
-    """(gain, items given back) of the best exchange of an item of size s for one or two smaller ones of a bin with f free."""
-    small = sorted((j for j in members if sizes[j] < s), key=lambda j: sizes[j])
-    of = [sizes[j] for j in small]
+    """(gain, pieces given back) of the best exchange of a piece of size s for one or two smaller ones of a bin with f free."""
+    small = sorted((sizes[j], j) for j in members if sizes[j] < s)
     best = None
     # what is given back must be at least s - f, and as little above as there is, below s
-    x = bisect.bisect_left(of, s - f)
-    if x < len(of):
-        best = (s - of[x], (small[x],))
-    for x, one in enumerate(of):
-        y = bisect.bisect_left(of, s - f - one, x + 1)
-        if y < len(of) and of[y] < s - one and (best is None or s - one - of[y] > best[0]):
-            best = (s - one - of[y], (small[x], small[y]))
+    x = bisect.bisect_left(small, (s - f, -1))
+    if x < len(small):
+        best = (s - small[x][0], (small[x][1],))
+    for x, (one, j) in enumerate(small):
+        if best and best[0] == f:
+            break
+        y = bisect.bisect_left(small, (s - f - one, -1), x + 1)
+        if y < len(small) and small[y][0] < s - one and (best is None or s - one - small[y][0] > best[0]):
+            best = (s - one - small[y][0], (j, small[y][1]))
     return best

@@ -13,7 +13,7 @@ from orelith.llm.history import History
 from orelith.llm.leaks import leaks
 from orelith.llm.neighbours import neighbours
 from orelith.llm.packing import pack, token_counts, tokenizer_path
-from orelith.llm.subjects import document_subjects, subject_counts
+from orelith.llm.subjects import SHARE, document_subjects, subject_counts
 from orelith.llm.syntax import syntax_errors
 from orelith.operators.snapshots import latest_by
 from orelith.session import materialise, new_path, table, widen
@@ -82,6 +82,14 @@ def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("unused_share", F.round(1 - F.col("n_tokens") / (F.col("n_bins") * F.col("capacity")), 6))
 
 
+def p8_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Per window: documents placed, containers filled beyond their capacity, and documents split although they fit."""
+    rows = materialise(p8_assign(spark, sf), "assigned")
+    loads = rows.groupBy("window_name", "bin_id").agg((F.sum("n_tokens") > F.first("capacity")).cast("int").alias("over")).groupBy("window_name").agg(F.sum("over").alias("n_overfull"))
+    docs = rows.groupBy("window_name", "doc_id").agg(((F.count("*") > 1) & (F.sum("n_tokens") <= F.first("capacity"))).cast("int").alias("split"))
+    return docs.groupBy("window_name").agg(F.count("*").alias("n_docs"), F.sum("split").alias("n_split")).join(loads, "window_name")
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks(widen(table(spark, sf, "documents").select("doc_id", "text")), table(spark, sf, "eval_items")).select("doc_id", "item_id")
 
@@ -104,10 +112,10 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 def p10_composition(spark: SparkSession, sf: str) -> DataFrame:
     """Per source and subject: documents of that subject and sentences about it."""
     counts = _subject_counts(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
-    return counts.groupBy("source", "subject").agg(F.count(F.when(F.col("n_about") >= 0.25 * F.col("n_sentences"), 1)).alias("n_docs"), F.sum("n_about").alias("n_sentences"))
+    return counts.groupBy("source", "subject").agg(F.count(F.when(F.col("n_about") >= SHARE * F.col("n_sentences"), 1)).alias("n_docs"), F.sum("n_about").alias("n_sentences"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p5_found, p5_by_repo, p6_found, p6_rates, p8_assign, p8_fill, p9_found, p9_leaked_items, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p5_found, p5_by_repo, p6_found, p6_rates, p8_assign, p8_fill, p8_whole, p9_found, p9_leaked_items, p10_found, p10_composition)}
 
 _LEAKS = r"""
 WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS ws FROM documents WHERE text IS NOT NULL),
@@ -120,6 +128,7 @@ hit AS (SELECT doc_id, item_id, count(*) AS n_runs FROM dr JOIN er USING (run) G
 """
 
 SQL = {
+    "p8_whole": "SELECT window_name, (SELECT count(DISTINCT doc_id) FROM documents) AS n_docs, CAST(0 AS BIGINT) AS n_split, CAST(0 AS BIGINT) AS n_overfull FROM (SELECT DISTINCT window_name FROM context_windows WHERE capacity > 0)",
     "p9_found": _LEAKS + "SELECT doc_id, item_id FROM hit",
     "p9_leaked_items": _LEAKS + "SELECT item_id, count(*) AS n_docs, CAST(sum(n_runs) AS BIGINT) AS n_runs FROM hit GROUP BY ALL",
     "p3_found": """

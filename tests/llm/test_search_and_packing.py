@@ -110,6 +110,41 @@ def test_local_search_goes_on_while_it_helps():
         assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and len(bins) <= most and all(sum(sizes[i] for i in b) <= 100 for b in bins)
 
 
+def best_fit(sizes, cap):
+    room = []
+    for s in sorted(sizes, reverse=True):
+        b = min((i for i, r in enumerate(room) if r >= s), key=lambda i: room[i], default=None)
+        if b is None:
+            room.append(cap - s)
+        else:
+            room[b] -= s
+    return len(room)
+
+
+def test_local_search_closes_bins_that_best_fit_does_not():
+    saved = 0
+    for seed in range(40):
+        rnd = random.Random(seed)
+        sizes = [rnd.randrange(24, 49) for _ in range(400)]
+        start = packing.Search(sizes, 100)
+        opened = len(start.room)
+        start.run()
+        assert len(start.room) <= best_fit(sizes, 100) and len(start.room) < 0.95 * opened
+        saved += best_fit(sizes, 100) - len(start.room)
+        assert sorted(i for b in start.bins for i in b) == list(range(400)) and all(sum(sizes[i] for i in b) == x <= 100 for b, x in zip(start.bins, start.load, strict=True))
+    assert saved >= 40
+
+
+def test_equal_swaps_free_small_pieces():
+    s = packing.Search([60, 60, 30, 30, 40, 20], 90)  # 60 | 60 30 | 30 40 20
+    s.run()
+    assert len(s.room) == 3 and packing._exchange(60, 0, [], []) is None
+    s = packing.Search([5, 5, 4, 3, 3], 10)
+    s.bins, s.load, s.of, s.room = [[0, 3], [1, 2, 4][:1] + [4], [2]], [8, 8, 4], [0, 1, 2, 0, 1], [(2, 0), (2, 1), (6, 2)]
+    s.run()
+    assert len(s.room) == 2
+
+
 def test_token_counts(spark):
     d = spark.createDataFrame([(1, "hello world", 9), (2, None, 9), (3, "", 9), (4, "ş" * 50_000, 9), (1, "hello", 9)], "doc_id long, text string, n_tokens int")
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts(d, tokenizer_path()).collect()}
@@ -144,4 +179,4 @@ def test_pack_group_keeps_all(cap):
     sizes = sorted((rnd.randrange(1, cap) for _ in range(300)), reverse=True)
     bins = pack_group(sizes, cap)
     assert sorted(i for b in bins for i in b) == list(range(300)) and all(sum(sizes[i] for i in b) <= cap for b in bins)
-    assert len(bins) <= 1.1 * sum(sizes) / cap + 1 and packing.ROUNDS > 0
+    assert len(bins) <= 1.1 * sum(sizes) / cap + 1
