@@ -73,7 +73,8 @@ def syntax_errors(files: DataFrame) -> DataFrame:
     must = F.col("cls").isin("class", "interface", "enum", "struct", "switch", "try") | ((F.col("cls") == "function") & (F.col("lang") == "js"))
     stop = F.last(F.when(F.col("cls").isin("{", ";", "EOF", "}"), F.col("cls")), ignorenulls=True).over(ahead)
     source = F.last(F.when(F.col("cls").isin("str", "(", ".", "=", ";", "EOF"), F.col("cls")), ignorenulls=True).over(ahead)
-    looked = level.select(*key, "cls", "p1", "p2", "p3", "nxt", "after", "pos", bracket.alias("open"), stop.alias("stop"), source.alias("source"), F.lead("cls", 3).over(same).alias("third"))
+    mark = F.last(F.when(F.col("cls").isin(";", "if", "else", "while", "do"), F.col("cls")), ignorenulls=True).over(same.rowsBetween(Window.unboundedPreceding, -2))
+    looked = level.select(*key, "cls", "p1", "p2", "p3", "nxt", "after", "pos", bracket.alias("open"), stop.alias("stop"), source.alias("source"), mark.alias("mark"), F.lead("cls", 3).over(same).alias("third"), *[F.lag("cls", k).over(same).alias(f"b{k}") for k in (1, 2, 3, 4, 5)])
     opener = F.when(F.col("cls") == ")", "(").when(F.col("cls") == "]", "[").otherwise("{")
     tangled = (closes & ~F.col("open").eqNullSafe(opener)) | (F.col("after") < 0) | ((F.col("cls") == "EOF") & (F.col("after") != 0))
     dotted = F.col("p1").isin(".", "?.")
@@ -83,7 +84,10 @@ def syntax_errors(files: DataFrame) -> DataFrame:
     three = (F.col("lang") == "cs") & (F.col("cls") == "id") & (F.col("p1") == "id") & (F.col("p2") == "id")
     typed = (F.col("lang") == "js") & (F.col("cls") == ":") & (F.col("p1") == "id") & (F.col("p2") == "(") & (F.col("p3").isin("id", "function"))
     untyped = (F.col("lang") == "cs") & (F.col("cls") == "id") & F.col("p1").isin("function")
-    broken = headless | unnamed | untried | three | typed | untyped
+    # else follows the statement of an if: no block of a function or type, no statement that another one precedes
+    body = (F.col("b1") == "}") & (F.col("b2") == "{") & (F.col("b3").isin("id", "any", "void", "type", ">", "]") | ((F.col("b3") == ")") & (F.col("b4") == "(") & (F.col("b5") == "id")))
+    stray = (F.col("cls") == "else") & ~dotted & (body | ((F.col("b1") == ";") & (F.col("mark") == ";")))
+    broken = headless | unnamed | untried | three | typed | untyped | F.coalesce(stray, F.lit(False))
     shape = looked.select(*key, F.when(tangled, "nesting").when(broken, "production").alias("error")).where("error IS NOT NULL")
     found = bad.unionByName(apart).unionByName(shape)
     return found.groupBy(*key).agg(F.array_sort(F.collect_set("error")).alias("errors"))

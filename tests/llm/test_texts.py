@@ -72,6 +72,8 @@ GOOD = {
     "a.ts": "import { x as y } from './z';\nexport class A<T extends B> extends ns.C<T> implements I {\n  private readonly n?: Map<string, number[]> = new Map();\n  constructor(private a: any, b = 1) { super(a); }\n  @Input() get v(): string | null { return this.n!.get(`a${b ? `}` : '{'}`)?.x ?? null }\n  async *gen(...r: any[]): AsyncGenerator<any> { for await (const q of r) yield q as any; }\n}\ntype F = (a: string) => void;\nenum E { P = 1, Q }\nlet re = /[{(\\/\"]+/g, o = { a, b: 1, ...r, async m() {} };\nlabel: for (;;) { if (a) continue label; else break }\n",
     "b.js": "#!/usr/bin/env node\n'use strict'\nconst a = require('./b')\nlet f = async (x, { y = 2, ...z } = {}) => ({ x, y })\nfunction* g() { const t = yield* h(); return t }\nmodule.exports = { a, f }\nif (a) b(); else if (c) { d() } else e()\ntry { x() } catch { y() } finally { z() }\nswitch (a) { case 1: b(); break; default: c() }\n!function(){var c=d||{};return e>5?c.n:h.r(f)}();\n/* <<<<<<< HEAD */ var s = '=======';\ndo { i++ } while (i < 3)\nnew Foo;\n",
     "c.cs": "using System;\nnamespace A.B\n{\n[Serializable]\npublic abstract partial class C<T> : D<T>, I where T : class, new()\n{\n    private readonly int[] _a = { 1, 2 };\n    public string Name { get; private set; } = \"x\";\n    public int this[int i] => _a[i];\n    public C(int a) : base(a) { }\n    public async Task<Dictionary<string, int>> Run(string s, params object[] r)\n    {\n        var q = $\"a {s} {{b}}\"; var v = @\"c:\\x\"\"\"; char c = '{';\n        if (s is string t && t.Length > 0) { throw new Exception(nameof(s)); }\n        foreach (var p in s.Split(',')) { continue; }\n        return await Task.FromResult(x => x?.Y ?? 1);\n    }\n    int Z => 1;\n}\n}\n",
+    "view.tsx": "export function V<T>({ a, b }: P<T>): any {\n  const f = <U,>(x: U) => x;\n  if (a < b) { f(a); }\n  return (\n    <>\n      <Box.Item key={a} {...b} on-click='x' open>It's {a ? <b>yes</b> : null} {/* no */}</Box.Item>\n      <hr/>\n    </>\n  );\n}\n",
+    "else.jsx": "if(a)if(b)c();else d={};else e();if (a) { b() } else if (c) for (;;) { d() } else { e() }\nif (a) do x(); while (y); else z()\n",
     "blank.ts": "\ufeff", "comment.cs": "// only\n/* this */\n", "null.js": None,
 }
 BAD = {
@@ -79,6 +81,8 @@ BAD = {
     "html.cs": "<!doctype html>\n<html><body>x</body></html>\n", "sharp.ts": "using System;\npublic class A { public int Id { get; set; } }\n", "typed.cjs": "function f(row: Row) { return row; }\n", "face.js": "interface Row { id: number }\n",
     "note.ts": "Some notes about this\n- ask again\n", "string.cs": "class A { string s = \"open; }\n", "comment.js": "let a; /* never ends", "paren.ts": "f((a, b);\n", "mixed.js": "f(a];\n", "ts.cs": "export function F(id: number): number {\n  return id;\n}\n",
     "head.ts": "export class A", "catch.js": "try { a() }\nb()\n", "import.ts": "import * as a\n",
+    "else.js": "function f(a) {\n  g(a);\n  } else {\nreturn a;\n}\n", "else.ts": "class A {\n  f(a: any): any {\n    g(a);\n    } else {\n    return a;\n  }\n}\n", "else2.js": "a();\nb();\nelse c();\n",
+    "tag.jsx": "const a = <A><b></A>;\n", "hole.tsx": "const a = <A x={1 +}/>;\n",
 }
 
 
@@ -169,3 +173,16 @@ def test_subjects(spark):
 def test_sentences():
     assert repaired("kavÅŸak Ã¼ şu ü x") == "kavşak ü şu ü x"
     assert sentences("# head\n- One line.\n- Two! Three?\n\n", False) == ["- One line.", "- Two!", "Three?"] and sentences("a. b", True) == ["a. b"] and sentences(" ", True) == []
+
+
+def test_syntax_takes_linear_time_in_a_file(spark):
+    import time
+
+    def seconds(n):
+        d = spark.createDataFrame([("r", "a.js", "f(a);\n" * n)], "repo string, file string, text string")
+        began = time.time()
+        assert syntax_errors(d).count() == 0
+        return time.time() - began
+
+    seconds(10)
+    assert seconds(40_000) < 3 * seconds(20_000) + 2
