@@ -1,9 +1,11 @@
 """Source files that nobody wrote by hand: data, minified, generated and vendored files, told by their names.
 
-Character n-gram models of identifiers are trained per language on the files that are not data, packed or generated by
-themselves. Mangled names carry no letters the model expects, template-like names differ in a running number or one word
-only, and the declared names of a foreign source follow a style that is rare among the sources of the collection. Comments and
-folder names are not evidence.
+A character trigram model of identifiers is trained per language on the distinct texts that are neither data nor
+template-like nor full of very short names. A name is mangled if letters drawn evenly explain it in fewer bits than the
+model does, which is trained without it; a file most of whose names are mangled is minified. Names are template-like if they differ from several others in a number or one word only; a file most of whose
+names are has a low diversity and is generated. The naming styles of the remaining files are counted by source; declared names
+in styles that are rare there are foreign, and a file with mostly foreign ones is vendored. Comments, layout and folder
+names are not evidence.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ from orelith.llm.grammar import CS_CONTEXTUAL, CS_RESERVED, CS_TYPES, JS_RESERVE
 from orelith.session import materialise
 
 LITERAL_SHARE = 0.6  # of a data file's characters outside comments
-SHORT_SHARE, MANGLED_BITS = 0.6, 2.0  # of a minified file's names; least bits a character
-TEMPLATE_SHARE, SHAPE_SHARE, MIN_NAMES = 0.5, 0.4, 6  # of a generated file's names; most distinct line shapes; least names, also of one template
+MANGLED_SHARE, EVEN_BITS = 0.8, 7.0  # of a minified file's names; bits a character of a name drawn evenly: one of 64 signs, and whether it ends
+SHORT_SHARE = 0.6  # a file with so many names of one or two characters does not train the model
+TEMPLATE_SHARE, MIN_NAMES = 0.5, 6  # of a generated file's names; least distinct names, also of a minified file and of one template
 FOREIGN_SHARE, FOREIGN_BITS, MIN_DECLARED = 0.6, 2.5, 3  # of a vendored file's declared names
 
 _TOKEN = re.compile(r"/\*[\s\S]*?(?:\*/|$)|//[^\n]*|`(?:[^`\\]|\\[\s\S])*`|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[^\W\d][\w$]*|\d[\w.]*|\S")
@@ -34,22 +37,18 @@ _JS_DECLARED = re.compile(r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)|\bclass\s+([A-
 _CS_DECLARED = re.compile(r"\b(?:class|interface|struct|record|enum)\s+([A-Za-z_]\w*)|^[ \t]*(?:(?:public|private|protected|internal|static|async|override|virtual|sealed|partial|readonly)\s+)+[\w<>\[\],.? ]+?\s+([A-Za-z_]\w*)\s*[({\n=;]", re.M)
 _NO_NAME = set("if for while switch catch function return".split())
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^A-Za-z\d]")
-_FEATURES = "repo string, file string, lang string, sha string, source string, clean boolean, styles array<string>, names array<string>, declared array<string>, short double, literal double, statements int, shapes double"
+_FEATURES = "repo string, file string, lang string, sha string, trains boolean, names array<string>, uses array<int>, declared array<string>, literal double, statements int"
 
 
-def features(text: str, lang: str) -> tuple[list[str], list[str], float, float, int, float]:
-    """(distinct names, declared names, share of names of 1-2 characters, share of characters in literals, statement words, distinct line shapes a line)."""
-    tokens = [t for t in _TOKEN.findall(text.lstrip("﻿")) if not t.startswith(("//", "/*"))]
-    names = [t for t in tokens if (t[0].isalpha() or t[0] == "_") and t not in _WORDS]
+def features(text: str, lang: str) -> tuple[list[str], list[int], list[str], float, int]:
+    """(distinct names, how often each is used, declared names, share of characters in literals, statement words)."""
+    tokens = [t for t in _TOKEN.findall(text.lstrip("\ufeff")) if not t.startswith(("//", "/*"))]
+    uses = Counter(t for t in tokens if (t[0].isalpha() or t[0] == "_") and t not in _WORDS)
+    names = sorted(uses)
     literal = sum(len(t) for t in tokens if t[0] in "\"'`" or t[0].isdigit())
-    bare = _COMMENT.sub(" ", text)
-    found = (_CS_DECLARED if lang == "cs" else _JS_DECLARED).findall(bare)
+    found = (_CS_DECLARED if lang == "cs" else _JS_DECLARED).findall(_COMMENT.sub(" ", text))
     declared = [n for m in found for n in m if n and n not in _NO_NAME]
-    lines = [re.sub(r"[A-Za-z_$][\w$]*", "i", re.sub(r"\d+", "9", x.strip())) for x in bare.splitlines() if x.strip()]
-    return (
-        sorted(set(names)), declared, sum(len(n) <= 2 for n in names) / max(1, len(names)), literal / max(1, sum(map(len, tokens))),
-        sum(t in _STATEMENTS for t in tokens), len(set(lines)) / max(1, len(lines)),
-    )
+    return names, [uses[n] for n in names], declared, literal / max(1, sum(map(len, tokens))), sum(t in _STATEMENTS for t in tokens)
 
 
 def grams(name: str) -> list[str]:
@@ -59,10 +58,16 @@ def grams(name: str) -> list[str]:
 
 
 def style(name: str) -> str:
-    """Case, underscores and numbering of a name: one of few styles."""
-    case = "upper" if name.isupper() and len(name) > 1 else "pascal" if name[0].isupper() else "lower"
-    tail = re.search(r"\d*$", name).group()
-    return f"{case}{'_' if '_' in name.strip('_') else ''}{'00' if len(tail) > 1 else '0' if tail else ''}"
+    """Leading marks, case, underscores, abbreviations and numbering of a name: one of some hundred styles."""
+    bare = name.lstrip("_$")
+    mark = name[: len(name) - len(bare)][:1]
+    if not bare:
+        return mark
+    case = "upper" if bare.isupper() and len(bare) > 1 else "pascal" if bare[0].isupper() else "lower" if re.search("[A-Z]", bare) or "_" in bare.strip("_") else "flat"
+    tail = re.search(r"\d*$", bare).group()
+    inside = bare[: len(bare) - len(tail)]
+    number = "00" if len(tail) > 1 else "0" if tail else ""
+    return f"{mark}{case}{'_' if '_' in bare.strip('_') else ''}{'-abbr' if case != 'upper' and re.search('[A-Z]{3}', bare) else ''}{'-inner' if re.search(r'[0-9]', inside) else ''}{number}"
 
 
 def is_data(literal: float, statements: int) -> bool:
@@ -80,102 +85,125 @@ def templates(name: str) -> set[tuple]:
     return ({(n, head[-1])} if "0" in parts else set()) | {(n, i, head[i], tail[n - 1 - i]) for i, p in enumerate(parts) if n > 1 and p.isalpha()}
 
 
-def is_templated(names: list[str], shapes: float) -> bool:
-    """Whether lines repeat and most names follow templates, each shared by several names: few templates a name."""
-    if len(names) < MIN_NAMES or shapes > SHAPE_SHARE:
+def is_templated(names: list[str]) -> bool:
+    """Whether most names follow templates, each shared by several names: few templates a name."""
+    if len(names) < MIN_NAMES:
         return False
     each = [templates(n) for n in names]
     held = Counter(t for ts in each for t in ts)
     return sum(any(held[t] >= MIN_NAMES for t in ts) for ts in each) >= TEMPLATE_SHARE * len(names)
 
 
-def clean(names: list[str], short: float, literal: float, statements: int, shapes: float) -> bool:
-    """Whether a file may train the models: it is neither data nor generated, and too few names are short for a minified one."""
-    return not (is_data(literal, statements) or is_templated(names, shapes) or short >= SHORT_SHARE)
-
-
-def file_classes(files: DataFrame) -> DataFrame:
+def file_classes(files: DataFrame, declared: DataFrame | None = None) -> DataFrame:
     """(repo, file, lang, file_class) of files (repo, file, text) with a known extension; file_class null: hand-written.
 
     data: values or an encoded blob; minified: packed script with mangled names; generated: names out of a template;
-    vendored: declared names in a style foreign to the collection. Null and empty texts are hand-written. A file that
-    comes twice is judged once, by its greatest text. Each distinct text trains the trigrams once, and files that declare
-    the same names are one source, which counts once for a style however often it was copied or edited inside; a library
-    of many different files counts with each of them. Files that are data, minified or generated train neither; only
-    where a language has no others do they train its trigrams.
+    vendored: declared names in a style foreign to the collection. declared: (repo, file, names), the names that an index
+    knows to be declared in a file; where it has none, they are looked for in the text. Null and empty texts are
+    hand-written. A file that comes twice is judged once, by its greatest text. Each distinct text trains the trigrams
+    once with its distinct names, numbers masked; where a language has only texts that should not train, they do. Files that declare the same names are one source, which counts
+    once for a style however often it was copied or edited inside; a library of many different files counts with each
+    of them. Data, minified and generated files do not count for styles.
     """
     spark = files.sparkSession
     known = files.where(F.col("repo").isNotNull() & F.col("file").isNotNull()).withColumn("ext", extension("file")).where(F.col("ext").isin(list(LANGUAGE_OF)))
     one = known.groupBy("repo", "file", "ext").agg(F.max("text").alias("text"))
+    if declared is None:
+        one = one.withColumn("told", F.lit(None).cast("array<string>"))
+    else:
+        told = declared.select("repo", "file", F.col("names").alias("_n")).groupBy("repo", "file").agg(F.max("_n").alias("told"))
+        one = one.join(told, ["repo", "file"], "left")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
 
         for pdf in batches:
             rows = []
-            for repo, file, ext, text in zip(pdf["repo"], pdf["file"], pdf["ext"], pdf["text"], strict=True):
-                lang = LANGUAGE_OF[ext]
-                names, declared, *rest = features(text or "", lang)
-                own = "\n".join(sorted(set(declared)))
-                sha, source = (hashlib.sha1(x.encode("utf-8", "surrogatepass")).hexdigest() for x in (text or "", own))
-                rows.append((repo, file, lang, sha, source, clean(names, *rest), sorted({style(n) for n in declared}), names, declared, *rest))
-            yield pd.DataFrame(rows, columns=["repo", "file", "lang", "sha", "source", "clean", "styles", "names", "declared", "short", "literal", "statements", "shapes"])
+            for repo, file, ext, text, told in zip(pdf["repo"], pdf["file"], pdf["ext"], pdf["text"], pdf["told"], strict=True):
+                names, uses, found, *rest = features(text or "", LANGUAGE_OF[ext])
+                own = [n for n in told if n] if told is not None else []
+                short = sum(u for n, u in zip(names, uses, strict=True) if len(n) <= 2)
+                trains = not (is_data(*rest) or is_templated(names)) and short < SHORT_SHARE * max(1, sum(uses))
+                sha = hashlib.sha1((text or "").encode("utf-8", "surrogatepass")).hexdigest()
+                rows.append((repo, file, LANGUAGE_OF[ext], sha, trains, names, uses, own or found, *rest))
+            yield pd.DataFrame(rows, columns=["repo", "file", "lang", "sha", "trains", "names", "uses", "declared", "literal", "statements"])
 
     seen = materialise(one.mapInPandas(read, _FEATURES), "names")
-    texts = seen.dropDuplicates(["lang", "sha"]).select("lang", "clean", "names")
-    sources = seen.where("clean AND size(declared) > 0").select("lang", "source", "styles").dropDuplicates(["lang", "source"])
+    texts = seen.dropDuplicates(["lang", "sha"]).select("lang", "trains", "names")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
         for pdf in batches:
-            for lang, trains, names in zip(pdf["lang"], pdf["clean"], pdf["names"], strict=True):
+            for lang, trains, names in zip(pdf["lang"], pdf["trains"], pdf["names"], strict=True):
                 for n in names:
-                    total.update((lang, "gram" if trains else "spare", g) for g in grams(n))
-                total[(lang, "texts", "")] += 1
-        yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["lang", "kind", "what", "n"])
+                    total.update((lang, trains, g) for g in grams(n))
+        yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["lang", "trains", "gram", "n"])
 
-    trigrams = texts.mapInPandas(count, "lang string, kind string, what string, n long").groupBy("lang", "kind", "what").agg(F.sum("n").alias("n"))
-    styles = sources.select("lang", F.lit("style").alias("kind"), F.explode(F.array_union(F.array(F.lit("")), "styles")).alias("what")).groupBy("lang", "kind", "what").agg(F.count("*").alias("n"))
-    model = trigrams.unionByName(styles).toPandas()  # bounded by the alphabet
-    shared = spark.sparkContext.broadcast(model)
+    grammed = texts.mapInPandas(count, "lang string, trains boolean, gram string, n long").groupBy("lang", "trains", "gram").agg(F.sum("n").alias("n")).toPandas()  # bounded by the alphabet
+    kept = set(grammed["lang"][grammed["trains"]])
+    grammed = grammed[grammed["trains"] | ~grammed["lang"].isin(kept)]
+    trigrams = spark.sparkContext.broadcast(grammed)
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        models = {lang: Model(own) for lang, own in shared.value.groupby("lang")}
+    def name_based(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models = {lang: Names(own) for lang, own in trigrams.value.groupby("lang")}
         for pdf in batches:
-            classes = [models[lang].judge(*x) for lang, *x in zip(pdf["lang"], pdf["names"], pdf["declared"], pdf["short"], pdf["literal"], pdf["statements"], pdf["shapes"], strict=True)]
-            yield pd.DataFrame({"repo": pdf["repo"], "file": pdf["file"], "lang": pdf["lang"], "file_class": pd.Series(classes, dtype=object, index=pdf.index)})
+            out = [_class_by_names(models.get(lang), *x) for lang, *x in zip(pdf["lang"], pdf["names"], pdf["uses"], pdf["literal"], pdf["statements"], strict=True)]
+            styles = [[style(n) for n in d] for d in pdf["declared"]]
+            source = ["\n".join(sorted(set(d))) for d in pdf["declared"]]
+            yield pd.DataFrame({"repo": pdf["repo"], "file": pdf["file"], "lang": pdf["lang"], "file_class": pd.Series(out, dtype=object, index=pdf.index), "styles": styles, "source": source})
+
+    first = seen.mapInPandas(name_based, "repo string, file string, lang string, file_class string, styles array<string>, source string")
+    first = materialise(first.withColumn("source", F.sha1("source")), "first")
+    sources = first.where("file_class IS NULL AND size(styles) > 0").groupBy("lang", "source").agg(F.array_distinct(F.first("styles")).alias("styles"))
+    counted = sources.select("lang", F.explode(F.array_union(F.array(F.lit("")), "styles")).alias("style")).groupBy("lang", "style").agg(F.count("*").alias("n")).toPandas()  # at most some hundred styles
+    styles = spark.sparkContext.broadcast({(r.lang, r.style): int(r.n) for r in counted.itertuples()})
+
+    def style_based(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [c if c or not is_foreign(lang, list(s), styles.value) else "vendored" for lang, c, s in zip(pdf["lang"], pdf["file_class"], pdf["styles"], strict=True)]
+            yield pd.DataFrame({"repo": pdf["repo"], "file": pdf["file"], "lang": pdf["lang"], "file_class": pd.Series(out, dtype=object, index=pdf.index)})
+
+    return first.mapInPandas(style_based, "repo string, file string, lang string, file_class string")
+
+
+def _class_by_names(model: Names | None, names, uses, literal: float, statements: int) -> str | None:
+    names = list(names)
+    if is_data(literal, statements):
+        return "data"
+    if model is not None and model.is_mangled_file(names, list(uses)):
+        return "minified"
+    return "generated" if is_templated(names) else None
+
 
-    return seen.mapInPandas(judge, "repo string, file string, lang string, file_class string")
+def is_foreign(lang: str, styles: list[str], counts: dict[tuple[str, str], int]) -> bool:
+    """Whether most of a file's declared names have styles that few sources of the language use. The file's own source counts among them."""
+    sources = counts.get((lang, ""), 0)
+    rare = [s for s in styles if -math.log2((counts.get((lang, s), 0) + 0.5) / (sources + 1)) >= FOREIGN_BITS]
+    return len(styles) >= MIN_DECLARED and len(rare) >= FOREIGN_SHARE * len(styles)
 
 
-class Model:
-    """Trigram and style counts of one language."""
+class Names:
+    """Trigram counts of the distinct names of one language."""
 
     def __init__(self, counts: pd.DataFrame):
-        of = lambda kind: dict(zip(counts["what"][counts["kind"] == kind], counts["n"][counts["kind"] == kind].astype(int), strict=True))
-        self.gram, self.style = of("gram") or of("spare"), of("style")
-        self.sources = max(1, self.style.pop("", 1))
+        self.gram = dict(zip(counts["gram"], counts["n"].astype(int), strict=True))
         self.context: Counter = Counter()
         for g, n in self.gram.items():
             self.context[g[:2]] += n
+        self.known: dict[str, bool] = {}
 
     def bits(self, name: str) -> float:
-        """Cross-entropy of a name in bits a character."""
+        """What a name takes under the model of all other names."""
         gs = grams(name)
-        return sum(-math.log2((self.gram.get(g, 0) + 0.1) / (self.context[g[:2]] + 6)) for g in gs) / len(gs)
-
-    def foreign(self, name: str) -> bool:
-        """Whether few sources of the language declare a name of this style."""
-        return -math.log2((self.style.get(style(name), 0) + 0.5) / (self.sources + 1)) >= FOREIGN_BITS
-
-    def judge(self, names, declared, short: float, literal: float, statements: int, shapes: float) -> str | None:
-        names, declared = list(names), list(declared)
-        if is_data(literal, statements):
-            return "data"
-        if short >= SHORT_SHARE and names and sum(map(self.bits, names)) / len(names) >= MANGLED_BITS:
-            return "minified"
-        if is_templated(names, shapes):
-            return "generated"
-        if len(declared) >= MIN_DECLARED and sum(map(self.foreign, declared)) >= FOREIGN_SHARE * len(declared):
-            return "vendored"
-        return None
+        own, ctx = Counter(gs), Counter(g[:2] for g in gs)
+        return sum(-math.log2((max(0, self.gram.get(g, 0) - own[g]) + 0.1) / (max(0, self.context[g[:2]] - ctx[g[:2]]) + 6)) for g in gs)
+
+    def is_mangled(self, name: str) -> bool:
+        if name not in self.known:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[name] = self.bits(name) > EVEN_BITS * len(name)
+        return self.known[name]
+
+    def is_mangled_file(self, names: list[str], uses: list[int]) -> bool:
+        return len(names) >= MIN_NAMES and sum(u for n, u in zip(names, uses, strict=True) if self.is_mangled(n)) >= MANGLED_SHARE * sum(uses)

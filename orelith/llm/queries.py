@@ -16,6 +16,7 @@ from orelith.llm.packing import pack, token_counts, tokenizer_path
 from orelith.llm.subjects import SHARE, document_subjects, subject_counts
 from orelith.llm.syntax import syntax_errors
 from orelith.operators.snapshots import latest_by
+from orelith.plans import relations
 from orelith.session import materialise, new_path, table, widen
 
 DIMS = 64
@@ -49,13 +50,19 @@ def _sources(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "source_files").select("repo", "file", F.col("src_text").alias("text"))
 
 
+def _declared(spark: SparkSession, sf: str) -> DataFrame:
+    """(repo, file, names): the methods of the headers of the last full snapshot."""
+    h = relations.headers(spark, sf)
+    return h.select(F.col("project").alias("repo"), F.expr("substring(file, length(project) + 2)").alias("file"), F.col("methods.method_name").alias("names"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return file_classes(_sources(spark, sf)).where("file_class IS NOT NULL").select("repo", "file", "file_class")
+    return file_classes(_sources(spark, sf), _declared(spark, sf)).where("file_class IS NOT NULL").select("repo", "file", "file_class")
 
 
 def p5_by_repo(spark: SparkSession, sf: str) -> DataFrame:
     """Per repo and language: files of each class, hand-written ones included."""
-    return file_classes(_sources(spark, sf)).groupBy("repo", "lang", F.coalesce("file_class", F.lit("hand-written")).alias("file_class")).agg(F.count("*").alias("n_files"))
+    return file_classes(_sources(spark, sf), _declared(spark, sf)).groupBy("repo", "lang", F.coalesce("file_class", F.lit("hand-written")).alias("file_class")).agg(F.count("*").alias("n_files"))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:

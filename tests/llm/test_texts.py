@@ -114,6 +114,7 @@ def test_file_classes(spark):
     assert got[("r", "m.js")] == "minified" and got[("r", "g.ts")] == "generated" and got[("r", "d.ts")] == got[("r", "blob.js")] == "data" and got[("r", "lib.ts")] == got[("q", "lib.ts")] == "vendored"
     assert all(got[("r", f"h{i}.ts")] is None for i in range(8)) and got[("r", "e.ts")] is None and ("r", "x.md") not in got
     assert style("scheduleQueue0") == "lower0" and style("a_b00") == "lower_00" and features("", "js")[0] == []
+    assert style("_md5Sum") == "_lower-inner" and style("parseHTTPHead") == "lower-abbr" and style("run") == "flat" and style("$") == "$"
     assert file_classes(spark.createDataFrame([], "repo string, file string, text string")).count() == 0
 
 
@@ -134,11 +135,29 @@ def test_generated_by_any_template():
     single = "\n".join(f"function get{i}(s0) {{\n  return table[{i}];\n}}" for i in range(1, 10))
     stubs = "\n".join(f"function get{w}Stub(s) {{\n  return call{w}(s);\n}}" for w in words)
     own = "\n".join(f"function {v}(row) {{\n  return row.{w};\n}}" for v, w in zip(["open", "closeAll", "readLine", "send", "tidy", "mapRow", "sumUp", "countOf", "drop"], words, strict=True))
-    kinds = [is_templated(f[0], f[5]) for f in (features(t, "js") for t in (single, stubs, own))]
+    kinds = [is_templated(f[0]) for f in (features(t, "js") for t in (single, stubs, own))]
     assert kinds == [True, True, False]
     assert len(templates("aB" * 100_000)) == 100_001 and templates("run") == set() and templates("get1") & templates("get27")
 
 
+def test_each_name_test_decides(spark):
+    verbs, nouns = ["load", "merge", "apply", "find", "parse"], ["Alpha", "Bravo", "Carol", "Delta", "Echo", "Fox", "Golf", "Hotel", "India", "Julia", "Kilo", "Lima"]
+    hand = "export class %sQueue {\n  async load%sPart(id) {\n    const total = Number(id) + 1;\n    if (total > 3) { this.save%sItem(total); }\n    return total;\n  }\n  save%sItem(value) { return value; }\n}\n"
+    files = [(f"r{i % 6}", f"h{i}.js", hand % ((n,) * 4)) for i, n in enumerate(nouns)]
+    files.append(("r0", "snake.js", "\n".join(f"function {v}_thing_of(id, opts) {{\n  let next = id + opts;\n  return next;\n}}" for v in verbs)))  # foreign without any number
+    files.append(("r1", "marked.js", "\n".join(f"function _{v}Thing(id, opts) {{\n  let next = id + opts;\n  return next;\n}}" for v in verbs)))
+    files.append(("r2", "m.js", "!function(){" + "".join(f"function {c}(a,b){{var c=a||{{}};return b>{i}?c.k:a.p(b)}}" for i, c in enumerate("qwzjvxhygu")) + "}();"))
+    files.append(("r3", "g.js", "\n".join(f"function get{n}Stub(s) {{\n  return call{n}(s);\n}}" for n in nouns)))
+    files.append(("r4", "told.js", "run();"))
+    d = spark.createDataFrame(files, "repo string, file string, text string")
+    told = spark.createDataFrame([("r4", "told.js", ["do_this", "do_that", "not_this"], 1), ("r1", "marked.js", None, 1), ("r0", None, ["x"], 1)], "repo string, file string, names array<string>, text int")
+
+    def verdicts():
+        return {r["file"]: r["file_class"] for r in file_classes(d, told).where("file_class IS NOT NULL").collect()}
+
+    assert verdicts() == {"snake.js": "vendored", "marked.js": "vendored", "told.js": "vendored", "m.js": "minified", "g.js": "generated"}
+
+
 WORDS = {"law": "court verdict notary statute hearing bailiff", "food": "kettle recipe dough broth oven pantry", "sport": "goalkeeper league referee sprint relay trophy"}
 FILL = ["Nothing else to do here.", "Run the whole suite before you push.", "Please keep lines short."]
 TEMPLATES = ["The {a} of a {b} is rounded only at the end.", "Since then the {a} is linked with its {b} by key.", "Reading the {a} twice is cheap while writing the {b} is not.", "Merging two {a} entries keeps the older {b}."]
