@@ -3,8 +3,9 @@
 A text restates another of the same group if their longest common subsequence of words is at least THRESHOLD of the
 longer text's words. Such a pair shares at least that many words, so under any fixed order of words their first
 n - ceil(THRESHOLD n) + 1 words (the rarest ones) have one in common: each of these is a sort key of the text. Accepted
-texts are kept in runs sorted by key; a batch is sorted by the same keys and is compared only inside the windows of
-equal key and near enough length around its own records.
+texts are kept in runs, sorted by key and cut into key ranges of about equal size, so a run has the more ranges the longer
+it is. A batch is sorted by the same keys, reads only the ranges that its keys fall into, and is compared only inside the
+windows of equal key and near enough length around its own records. Runs of like size are merged.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from orelith.session import drop_path, materialise
 
 THRESHOLD = 0.85
-RANGES = 32  # key ranges of a run
-RUNS = 4  # so many runs are merged into one
+KEYS_PER_RANGE = 200_000  # about; the number of ranges of a run is a power of two
+RUNS = 4  # from so many runs on, the newest are merged with each older one that is at most so many times as long
 COMMON = 1e-4  # a word in this share of the texts counts as common; there are at most (words a text) / COMMON of them
 _NOTE = "id string, batch long, at long, grp string, toks array<int>"
 _KEYED = "key long, len int, id string, batch long, at long, state int, toks array<int>"
@@ -35,11 +36,17 @@ def least_common(n: int, threshold: float = THRESHOLD) -> int:
     return math.ceil(threshold * n - 1e-9)
 
 
-def lcs(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence, one machine-word-parallel step per element of b."""
+def places(a: list[int]) -> dict[int, int]:
+    """Where each word stands, as bits."""
     where: dict[int, int] = {}
     for i, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << i
+    return where
+
+
+def lcs(a: list[int], b: list[int], where: dict[int, int] | None = None) -> int:
+    """Length of the longest common subsequence, one machine-word-parallel step per element of b. where: the places of a."""
+    where = places(a) if where is None else where
     full = (1 << len(a)) - 1
     v = full
     for x in b:
@@ -87,7 +94,10 @@ class History:
 
     def accepted(self) -> DataFrame:
         """(id, batch, at, grp, toks) of all accepted texts."""
-        runs = [f"{self.path}/notes-{r}" for r in self.state["runs"]]
+        return self._notes(self.state["runs"])
+
+    def _notes(self, runs: list[dict]) -> DataFrame:
+        runs = [f"{self.path}/notes-{r['run']}" for r in runs]
         return self.spark.read.schema(_NOTE).parquet(*runs) if runs else self.spark.createDataFrame([], _NOTE)
 
     def _keys(self, notes: DataFrame, state: int) -> DataFrame:
@@ -128,15 +138,32 @@ class History:
         self.state["order"] = at
 
     def _write(self, notes: DataFrame) -> None:
-        """A run: the texts, and their keys in key ranges, sorted."""
+        """A run: the texts, and their keys in a folder a key range, sorted."""
         r = self.state["next"]
         notes.write.mode("overwrite").parquet(f"{self.path}/notes-{r}")
-        keyed = self._keys(self.spark.read.schema(_NOTE).parquet(f"{self.path}/notes-{r}"), 0)
-        span = F.shiftright("key", 59).cast("int")
-        keyed.withColumn("span", span).repartitionById(RANGES, F.col("span") + RANGES // 2).drop("span").sortWithinPartitions("key", "len").write.mode("overwrite").parquet(f"{self.path}/keys-{r}")
-        self.state["runs"].append(r)
+        notes = self.spark.read.schema(_NOTE).parquet(f"{self.path}/notes-{r}")
+        n = notes.count()
+        keys = notes.select(F.sum(F.greatest(F.size("toks") * (1 - self.threshold) + 1, F.lit(1.0)))).first()[0] or 0
+        bits = max(0, math.ceil(math.log2(max(1.0, keys / KEYS_PER_RANGE))))
+        if n:
+            keyed = self._keys(notes, 0).withColumn("span", span_of(bits))
+            parts = max(1, min(1 << bits, 4 * self.spark.sparkContext.defaultParallelism))
+            keyed.repartitionById(parts, F.pmod("span", F.lit(parts)).cast("int")).sortWithinPartitions("span", "key", "len").write.mode("overwrite").partitionBy("span").parquet(f"{self.path}/keys-{r}")
+            self.state["runs"].append({"run": r, "rows": n, "bits": bits})
         self.state["next"] += 1
 
+    def _touched(self, keys: DataFrame) -> list[tuple[dict, list[int]]]:
+        """Per run the ranges that keys (key) fall into."""
+        return [(r, [x[0] for x in keys.select(span_of(r["bits"]).alias("s")).distinct().collect()]) for r in self.state["runs"]]  # at most one a range
+
+    def _near(self, keys: DataFrame) -> DataFrame:
+        """Rows of all runs with one of the keys, from the ranges that hold any of them."""
+        out = self.spark.createDataFrame([], _KEYED)
+        for r, spans in self._touched(keys):
+            run = self.spark.read.schema(_KEYED + ", span int").parquet(f"{self.path}/keys-{r['run']}")
+            out = out.unionByName(run.where(F.col("span").isin(spans)).drop("span"))
+        return out.join(keys, "key", "left_semi")
+
     def absorb(self, batch: DataFrame) -> DataFrame:
         words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([\p{L}\p{Nd}]+)"), F.lit(1))
         grp = F.coalesce(F.concat(F.lit("="), F.col("grp").cast("string")), F.lit("-"))
@@ -150,12 +177,7 @@ class History:
         copies = materialise(notes.join(first, "same").select("id", "batch", "at", "grp", "toks", F.col("f.id").alias("rep"), F.col("f.batch").alias("rbatch"), F.col("f.at").alias("rat")), "copies")
         reps = copies.where("id = rep").select("id", "batch", "at", "grp", "toks")
         keyed = materialise(self._keys(reps, 1), "keyed")
-        old = [f"{self.path}/keys-{r}" for r in self.state["runs"]]
-        if old:
-            near = self.spark.read.schema(_KEYED).parquet(*old).join(keyed.select("key").distinct(), "key", "left_semi")
-            keyed_old = materialise(near, "near")
-        else:
-            keyed_old = self.spark.createDataFrame([], _KEYED)
+        keyed_old = materialise(self._near(keyed.select("key").distinct()), "near") if self.state["runs"] else self.spark.createDataFrame([], _KEYED)
         undecided, taken, rejected = keyed, None, None
         while True:
             rows = keyed_old.unionByName(undecided)
@@ -175,24 +197,38 @@ class History:
             keyed_old = materialise(keyed_old.unionByName(undecided.join(new, "id", "left_semi").withColumn("state", F.lit(0))), "near")
             undecided = materialise(undecided.join(done, "id", "left_anti"), "keyed")
         self._write(reps.join(taken, "id", "left_semi"))
-        if len(self.state["runs"]) >= RUNS:
-            self._merge()
+        gone = self._compact()
         self._save()
+        for r in gone:  # the pointer no longer names them
+            for kind in ("notes", "keys"):
+                drop_path(self.spark, f"{self.path}/{kind}-{r['run']}")
         rejected = rejected.select(F.col("id").alias("rep"), F.col("hit.other").alias("other"))
         kept = copies.join(rejected, "rep", "left")
         return kept.where(F.col("other").isNotNull() | (F.col("id") != F.col("rep"))).select("id", F.coalesce("other", "rep").alias("other"))
 
-    def _merge(self) -> None:
-        """Compacts all runs into one, with the words ordered by their present frequency."""
-        gone = list(self.state["runs"])
-        notes = self.accepted()
-        self._count(notes)
-        self.state["runs"] = []
+    def _compact(self) -> list[dict]:
+        """Merges the newest runs, so that a text is rewritten a number of times that grows with the logarithm of the history; gives the runs that are no longer needed. When all are merged, words are ordered by their present frequency."""
+        runs = self.state["runs"]
+        if len(runs) < RUNS:
+            return []
+        gone, rows = [runs[-1]], runs[-1]["rows"]
+        for r in reversed(runs[:-1]):
+            if r["rows"] > RUNS * rows:
+                break
+            gone, rows = [*gone, r], rows + r["rows"]
+        if len(gone) < 2:
+            return []
+        notes = self._notes(gone)
+        if len(gone) == len(runs):
+            self._count(notes)
+        self.state["runs"] = [r for r in runs if r not in gone]
         self._write(notes)
-        self._save()
-        for r in gone:
-            for kind in ("notes", "keys"):
-                drop_path(self.spark, f"{self.path}/{kind}-{r}")
+        return gone
+
+
+def span_of(bits: int):
+    """The key range of `key` among 2^bits equal ones."""
+    return F.lit(0) if bits == 0 else F.shiftrightunsigned("key", 64 - bits).cast("int")
 
 
 def _mix(grp: str, token: int, occ: int) -> int:
@@ -230,21 +266,16 @@ def _blocks(pdf: pd.DataFrame, threshold: float) -> Iterator[pd.DataFrame]:
     if not many:
         return
     length, ids, batch, at, toks = (pdf[c].to_numpy() for c in ("len", "id", "batch", "at", "toks"))
-    known: dict[tuple[str, str], bool] = {}
-    lists: dict[int, list[int]] = {}
-
-    def like(i: int, j: int) -> bool:
-        pair = (ids[i], ids[j])
-        if pair not in known:
-            for x in (i, j):
-                if x not in lists:
-                    lists[x] = toks[x].tolist()
-            known[pair] = restates(lists[i], lists[j], threshold)
-        return known[pair]
+    seen: dict[int, tuple[list[int], set[int]]] = {}
+
+    def words(i: int) -> tuple[list[int], set[int]]:
+        if i not in seen:
+            ws = toks[i].tolist()
+            seen[i] = (ws, set(ws))
+        return seen[i]
 
     for a, b in many:
-        lists.clear()
-        known.clear()
+        seen.clear()
         rows = sorted(range(a, b), key=lambda i: (state[i], batch[i], at[i], ids[i]))  # accepted ones first
         heads: list[tuple[int, int]] = []  # (length, row), by length: the window is the slice of near enough length
         others: list[tuple[int, int]] = []
@@ -255,12 +286,21 @@ def _blocks(pdf: pd.DataFrame, threshold: float) -> Iterator[pd.DataFrame]:
                 continue
             n = int(length[i])
             low, high = (least_common(n, threshold), -1), (int(n / threshold + 1e-9), 1 << 60)
-            hits = [j for _, j in heads[bisect.bisect_left(heads, low) : bisect.bisect_right(heads, high)] if like(i, j)]
-            if not hits:
-                hits = [j for _, j in others[bisect.bisect_left(others, low) : bisect.bisect_right(others, high)] if like(i, j)]
-                bisect.insort(heads, (n, i))
-            else:
-                bisect.insort(others, (n, i))
+            own, distinct = words(i)
+            where, spare = None, n - len(distinct)
+            hits = []
+            for of in (heads, others):
+                for m, j in of[bisect.bisect_left(of, low) : bisect.bisect_right(of, high)]:
+                    theirs, also = words(j)
+                    need = least_common(max(n, m), threshold)
+                    if min(n, m) < need or len(distinct & also) + min(spare, m - len(also)) < need:
+                        continue  # not even as many words in common in any order
+                    where = where or places(own)
+                    if lcs(own, theirs, where) >= need:
+                        hits.append(j)
+                if hits:
+                    break
+            bisect.insort(others if hits and of is heads else heads, (n, i))
             links += [(ids[i], ids[j], batch[j], at[j], not state[j]) for j in hits]
         if links:
             yield pd.DataFrame(links, columns=["id", "other", "obatch", "oat", "accepted"])

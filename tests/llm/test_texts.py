@@ -61,6 +61,40 @@ def test_history_against_brute_force(spark):
     assert h.absorb(spark.createDataFrame([], "id string, grp string, text string, batch long, at long")).count() == 0
 
 
+def test_history_reads_no_more_when_it_grows(spark, monkeypatch):
+    from pathlib import Path
+
+    from orelith.llm import history as hist
+
+    monkeypatch.setattr(hist, "KEYS_PER_RANGE", 100)
+
+    def batch(n, at, first=0):
+        d = spark.range(first, first + n).select(F.format_string("n%07d", "id").alias("id"), F.lit("g").alias("grp"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.substring(F.sha1(F.concat("id", F.lit(" "), i)), 1, 6)), " ").alias("text"))
+        return d.withColumns({"batch": F.lit(at).cast("long"), "at": F.lit(at).cast("long")})
+
+    read = []
+    h = History(spark, new_path(spark, "history"))
+    for step, n in enumerate((2000, 18_000)):  # the history grows tenfold
+        h.absorb(batch(n, step, step * 10_000))
+        keyed = h._keys(spark.createDataFrame([(f"x{i}", 9, i, "=g", [i * 7 + j for j in range(12)]) for i in range(10)], hist._NOTE), 1)
+        touched = h._touched(keyed.select("key").distinct())
+        read.append(sum(f.stat().st_size for r, spans in touched for x in spans for f in Path(h.path.removeprefix("file://"), f"keys-{r['run']}", f"span={x}").glob("*.parquet")))
+    assert h.accepted().count() == 20_000 and len(h.state["runs"]) == 2 and max(r["bits"] for r in h.state["runs"]) >= 9
+    assert 0 < read[1] < 2.5 * read[0]  # two runs instead of one
+
+
+def test_history_merges_runs_of_like_size(spark):
+    h = History(spark, new_path(spark, "history"))
+    h.state["runs"] = []
+    rows = lambda k, n: spark.createDataFrame([(f"{k}-{i}", k, i, "=g", [k * 1000 + i, i]) for i in range(n)], "id string, batch long, at long, grp string, toks array<int>")
+    h._count(rows(0, 5))
+    for k, n in enumerate((64, 3, 3)):
+        h._write(rows(k, n))
+    assert h._compact() == [] and h.accepted().count() == 70
+    h._write(rows(9, 3))
+    assert len(h._compact()) == 3 and [r["rows"] for r in h.state["runs"]] == [64, 9] and h.accepted().count() == 73
+
+
 def test_history_hot_group_of_copies(spark):
     text = " ".join(f"t{i}" for i in range(20))
     d = spark.range(600).select(F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("id"), F.lit(None).cast("string").alias("grp"), F.when(F.col("id") % 3 == 0, F.lit(text)).otherwise(F.concat(F.lit("own words of "), F.sha1(F.col("id").cast("string")))).alias("text"), F.lit(1).alias("batch"), F.col("id").alias("at"))
