@@ -142,9 +142,8 @@ class History:
         r = self.state["next"]
         notes.write.mode("overwrite").parquet(f"{self.path}/notes-{r}")
         notes = self.spark.read.schema(_NOTE).parquet(f"{self.path}/notes-{r}")
-        n = notes.count()
-        keys = notes.select(F.sum(F.greatest(F.size("toks") * (1 - self.threshold) + 1, F.lit(1.0)))).first()[0] or 0
-        bits = max(0, math.ceil(math.log2(max(1.0, keys / KEYS_PER_RANGE))))
+        n, keys = notes.agg(F.count("*"), F.sum(F.greatest(F.size("toks") * (1 - self.threshold) + 1, F.lit(1.0)))).first()
+        bits = max(0, math.ceil(math.log2(max(1.0, (keys or 0) / KEYS_PER_RANGE))))
         if n:
             keyed = self._keys(notes, 0).withColumn("span", span_of(bits))
             parts = max(1, min(1 << bits, 4 * self.spark.sparkContext.defaultParallelism))

@@ -134,7 +134,34 @@ er AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 11], ' ') AS run FROM e
 hit AS (SELECT doc_id, item_id, count(*) AS n_runs FROM dr JOIN er USING (run) GROUP BY ALL)
 """
 
+_RESTATED = r"""
+WITH RECURSIVE n AS (
+  SELECT id, coalesce('=' || replace(symbol, '#', '.'), '-') AS grp, batch_no, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{Nd}]+') AS ws,
+         CAST(CASE WHEN regexp_matches(created_at, '(Z|[+-]\d\d:\d\d)$') THEN created_at ELSE created_at || 'Z' END AS TIMESTAMPTZ) AS mom
+  FROM memories WHERE id IS NOT NULL),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY batch_no, mom) AS rn FROM n) WHERE rn = 1),
+o AS MATERIALIZED (SELECT id, grp, ws, row_number() OVER (ORDER BY batch_no, mom, id) AS k FROM one),
+pair AS (
+  SELECT a.k AS a, b.k AS b, a.ws AS x, b.ws AS y, CAST(ceil(0.85 * greatest(len(a.ws), len(b.ws)) - 1e-9) AS INT) AS need
+  FROM o a JOIN o b ON a.grp = b.grp AND b.k < a.k
+  WHERE least(len(a.ws), len(b.ws)) >= 0.85 * greatest(len(a.ws), len(b.ws)) - 1e-9 
+    AND len(list_intersect(a.ws, b.ws)) + least(len(a.ws) - len(list_distinct(a.ws)), len(b.ws) - len(list_distinct(b.ws))) >= 0.85 * greatest(len(a.ws), len(b.ws)) - 1e-9),
+dp AS (
+  SELECT a, b, x, y, need, 0 AS i, list_transform(range(len(y) + 1), lambda j: 0) AS d FROM pair
+  UNION ALL
+  SELECT a, b, x, y, need, i + 1, list_reduce(list_concat([[0]], list_transform(range(1, len(y) + 1), lambda m: [CASE WHEN x[i + 1] = y[m] THEN d[m] + 1 ELSE d[m + 1] END])), lambda acc, c: list_append(acc, greatest(acc[-1], c[1])))
+  FROM dp WHERE i < len(x)),
+near AS MATERIALIZED (SELECT a, list(b ORDER BY b) AS bs FROM dp WHERE i = len(x) AND d[len(y) + 1] >= need GROUP BY a),
+c AS MATERIALIZED (SELECT o.k, coalesce(bs, []) AS bs FROM o LEFT JOIN near ON near.a = o.k),
+step AS (
+  SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS hit
+  UNION ALL
+  SELECT t.k + 1, CASE WHEN f.hit IS NULL THEN list_append(t.taken, t.k + 1) ELSE t.taken END, f.hit
+  FROM step t JOIN c ON c.k = t.k + 1, LATERAL (SELECT list_filter(c.bs, lambda b: list_contains(t.taken, b))[1] AS hit) f)
+SELECT least(p.id, q.id) AS id_a, greatest(p.id, q.id) AS id_b FROM step s JOIN o p ON p.k = s.k JOIN o q ON q.k = s.hit"""
+
 SQL = {
+    "p4_found": _RESTATED,
     "p8_whole": "SELECT window_name, (SELECT count(DISTINCT doc_id) FROM documents) AS n_docs, CAST(0 AS BIGINT) AS n_split, CAST(0 AS BIGINT) AS n_overfull FROM (SELECT DISTINCT window_name FROM context_windows WHERE capacity > 0)",
     "p9_found": _LEAKS + "SELECT doc_id, item_id FROM hit",
     "p9_leaked_items": _LEAKS + "SELECT item_id, count(*) AS n_docs, CAST(sum(n_runs) AS BIGINT) AS n_runs FROM hit GROUP BY ALL",
