@@ -279,10 +279,40 @@ def symbol_resolve(spark, sf):
 
 
 def import_resolution(spark, sf):
+    return graph.relative_imports(relations.headers(spark, sf).select("file", "imports"))
+
+
+def export_resolution(spark, sf):
+    """Names that a file brings in, by its imports or as parents of its classes, with the other file of the project that exports them."""
     h = relations.headers(spark, sf)
-    each = h.select("file", F.explode("imports").alias("import_text")).distinct()
-    cand = each.select("file", "import_text", F.explode(rules.import_candidates(F.col("file"), F.col("import_text"))).alias("target"))
-    return cand.join(h.select(F.col("file").alias("target")), "target", "left_semi").groupBy("file", "import_text").agg(F.min("target").alias("target"))
+    imported = h.select("project", "file", F.explode("imports").alias("i")).select("project", "file", F.explode(rules.imported_names(F.col("i"))).alias("name"))
+    parents = h.select("project", "file", F.explode(F.transform("classes", lambda c: F.regexp_extract(c["extends_name"], r"([\w$]+)\s*(?:<.*)?$", 1))).alias("name")).where("name <> ''")
+    return graph.exporting_files(imported.unionByName(parents).distinct(), h.select("project", "file", "exports")).select("file", "name", "target")
+
+
+def file_resolve(spark, sf):
+    """The indexed file that the file name of every note means, if there is just one."""
+    n = relations.notes(spark, sf).where("file IS NOT NULL").select(F.substring_index("file", "/", -1).alias("query"))
+    return graph.indexed_files(relations.headers(spark, sf).select("file"), n)
+
+
+def file_scoped_resolve(spark, sf):
+    """Every method looked up as `path#name`, the path without its extension."""
+    s = _symbols(spark, sf)
+    q = s.where("type = 'method' AND name NOT LIKE '%#%'").select(F.concat(F.regexp_replace("file", r"\.[^/.]+$", ""), F.lit("#"), F.col("name")).alias("query"))
+    return graph.resolve(s, q).select("query", "id", "match", "score", "ambiguous")
+
+
+def state_writes_by_path(spark, sf):
+    """How often and in how many files each state path is written and read."""
+    r = state_refs.state_references(relations.files(spark, sf))
+    return r.groupBy("path").agg(F.count(F.when(F.col("kind") == "write", 1)).alias("n_writes"), F.count(F.when(F.col("kind") == "read", 1)).alias("n_reads"), F.countDistinct("file").alias("n_files"))
+
+
+def project_overloads(spark, sf):
+    """Names that a project declares more than once, with how many files and owners declare them."""
+    s = _symbols(spark, sf).where("type = 'method'")
+    return s.groupBy("project", "name").agg(F.count("*").alias("n_methods"), F.countDistinct("file").alias("n_files"), F.countDistinct("class").alias("n_owners")).where("n_methods > 1")
 
 
 def state_references(spark, sf):
@@ -457,7 +487,7 @@ def hashing_embed(spark, sf):
 _NAMES = """code_extract extracted_calls hashing_embed text_chunks markdown_sections file_checksum symbol_identity duplicate_identity identifier_split search_terms compact_token normalize_query intent_class
 symbol_intent path_keywords vector_text class_vector_text search_content meta_infer reference_keys selector_set expand_loc symbol_parts exact_search exact_tiers regex_search
 postings lexical_bm25 document_bm25 memory_lexical vector_knn vector_knn_typed embedding_knn hybrid_search hybrid_typed result_clusters batch_search file_scoped_search files_list
-memory_list memory_before memory_hint memory_scope callers callees refs_depth trace symbol_resolve import_resolution state_references state_writers state_readers changed_files
+memory_list memory_before memory_hint memory_scope callers callees refs_depth trace symbol_resolve import_resolution export_resolution file_resolve file_scoped_resolve state_writes_by_path project_overloads state_references state_writers state_readers changed_files
 method_diff upsert delete_by_file debounce_changes manifest_history insight_backlog embedding_cache_misses stale_report issue_summary status test_candidates public_api risk_level
 enrich_deep snippets overload_groups enclosing_class language_histogram""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}

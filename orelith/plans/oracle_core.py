@@ -150,13 +150,25 @@ def _gm(g: str, name: str) -> str:
 _KEYS = r"""list_distinct(list_concat([r], CASE WHEN len(string_split(r, '.')) > 1 THEN [string_split(r, '.')[-1], array_to_string(string_split(r, '.')[-2:], '.')] ELSE [] END,
   CASE WHEN starts_with(r, 'this.') THEN [substr(r, 6)] WHEN starts_with(r, 'super.') THEN [substr(r, 7)] ELSE [] END, CASE WHEN len(string_split(r, '#')) > 1 THEN [string_split(r, '#')[-1], array_to_string(string_split(r, '#')[-2:], '#')] ELSE [] END))"""
 _REFS = f""", rr AS (SELECT DISTINCT id AS src_id, file AS src_file, project, unnest(refs) AS ref FROM sym WHERE type = 'method'),
-rk AS (SELECT src_id, src_file, ref, r, unnest({_KEYS}) AS key FROM (SELECT *, replace(trim(ref), '?.', '.') AS r FROM rr))"""
-_EDGES = r""", ek AS (SELECT src_id, src_file, project, ref, regexp_extract(r, '([^.#]*)$', 1) AS key, nullif(regexp_extract(r, '([^.#]*)[.#][^.#]*$', 1), '') AS owner FROM (SELECT *, replace(trim(ref), '?.', '.') AS r FROM rr)),
+rk AS (SELECT src_id, src_file, project, ref, r, unnest({_KEYS}) AS key FROM (SELECT *, replace(trim(ref), '?.', '.') AS r FROM rr))"""
+_RELATIVE = rf""", im AS (SELECT DISTINCT file, unnest(imports) AS import_text FROM hd), sp AS (SELECT *, CASE WHEN regexp_extract(import_text, '(?:from\s+|require\()[''"]([^''"]+)[''"]', 1) <> '' THEN regexp_extract(import_text, '(?:from\s+|require\()[''"]([^''"]+)[''"]', 1) ELSE import_text END AS spec FROM im),
+wi AS (SELECT file, import_text, string_split(regexp_replace(file, '[^/]*$', '') || spec, '/') AS ps, 0 AS i, []::VARCHAR[] AS acc FROM sp WHERE starts_with(spec, '.')
+  UNION ALL SELECT file, import_text, ps, i + 1, CASE WHEN ps[i + 1] IN ('', '.') THEN acc WHEN ps[i + 1] = '..' THEN acc[:greatest(len(acc) - 1, 0)] ELSE list_append(acc, ps[i + 1]) END FROM wi WHERE i < len(ps)),
+cd AS (SELECT file, import_text, unnest(list_transform({'[' + ', '.join(repr(x) for x in IMPORT_SUFFIXES) + ']'}, lambda s: array_to_string(acc, '/') || s)) AS target FROM wi WHERE i = len(ps)),
+ri AS (SELECT file, import_text, min(target) AS target FROM cd WHERE target IN (SELECT file FROM hd) GROUP BY ALL)"""
+_NAMED = r""", inm AS (SELECT DISTINCT project, file, unnest(list_concat(
+    flatten(list_transform(string_split(regexp_extract(i, '\{([^}]*)\}', 1), ','), lambda x: string_split_regex(trim(x), '(?i)\s+as\s+'))),
+    [regexp_extract(i, 'import\s+([A-Za-z_$][\w$]*)\s+from', 1)], CASE WHEN regexp_matches(i, '^[A-Za-z_][\w.]+$') THEN [i, string_split(i, '.')[-1]] ELSE [] END)) AS name FROM (SELECT project, file, unnest(imports) AS i FROM hd)),
+xp AS (SELECT DISTINCT project, file AS target, unnest(exports) AS name FROM hd)"""
+_IMPORTED = _RELATIVE + _NAMED + """, pf AS (SELECT file, target FROM ri UNION SELECT n.file, min(x.target) FROM inm n JOIN xp x ON x.project = n.project AND x.name = n.name AND x.target <> n.file WHERE n.name <> '' GROUP BY n.project, n.file, n.name)"""
+_EDGES = _IMPORTED + r""", ek AS (SELECT src_id, src_file, project, ref, regexp_extract(r, '([^.#]*)$', 1) AS key, nullif(regexp_extract(r, '([^.#]*)[.#][^.#]*$', 1), '') AS owner FROM (SELECT *, replace(trim(ref), '?.', '.') AS r FROM rr)),
 dc AS (SELECT id AS dst_id, file AS dst_file, project, name AS key, class AS dst_class, loc AS dst_loc FROM sym WHERE type = 'method'),
 ea AS (SELECT project, key, arg_min(dst_id, (dst_file, dst_loc, dst_id)) AS d FROM dc GROUP BY ALL), eh AS (SELECT dst_file, key, arg_min(dst_id, (dst_loc, dst_id)) AS d FROM dc GROUP BY ALL),
 eo AS (SELECT project, dst_class AS owner, key, arg_min(dst_id, (dst_file, dst_loc, dst_id)) AS d FROM dc WHERE dst_class IS NOT NULL GROUP BY ALL),
-ed AS (SELECT src_id, src_file, ref, coalesce(eo.d, eh.d, ea.d) AS dst_id, CASE WHEN eo.d IS NOT NULL OR eh.d IS NOT NULL THEN 'high' WHEN ea.d IS NOT NULL THEN 'medium' ELSE 'missing-index' END AS confidence
-  FROM ek LEFT JOIN ea ON ea.project = ek.project AND ea.key = ek.key LEFT JOIN eh ON eh.dst_file = ek.src_file AND eh.key = ek.key LEFT JOIN eo ON eo.project = ek.project AND eo.owner = ek.owner AND eo.key = ek.key)"""
+ei AS (SELECT pf.file AS src_file, key, arg_min(dst_id, (dst_file, dst_loc, dst_id)) AS d FROM pf JOIN dc ON dc.dst_file = pf.target GROUP BY ALL),
+ed AS (SELECT src_id, ek.src_file, ref, coalesce(eo.d, eh.d, ei.d, ea.d) AS dst_id, CASE WHEN eo.d IS NOT NULL OR eh.d IS NOT NULL OR ei.d IS NOT NULL THEN 'high' WHEN ea.d IS NOT NULL THEN 'medium' ELSE 'missing-index' END AS confidence
+  FROM ek LEFT JOIN ea ON ea.project = ek.project AND ea.key = ek.key LEFT JOIN eh ON eh.dst_file = ek.src_file AND eh.key = ek.key LEFT JOIN ei ON ei.src_file = ek.src_file AND ei.key = ek.key LEFT JOIN eo ON eo.project = ek.project AND eo.owner = ek.owner AND eo.key = ek.key)"""
+_PATHS = r""", fk AS (SELECT DISTINCT file, unnest(list_distinct([lower(file), regexp_replace(lower(file), '\.[^/.]+$', '')])) AS f FROM hd)"""
 _STATE_REFS = rf""", sl AS (SELECT file, unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) AS l, generate_subscripts(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), 1) AS line FROM fl),
 sh AS (SELECT file, line, trim(l) AS context, unnest(regexp_extract_all(l, '{STATE}')) AS m FROM sl),
 sp AS (SELECT file, line, context, replace(regexp_extract(m, '^[\w.?]+'), '?.', '.') AS path, trim(substr(m, length(regexp_extract(m, '^[\w.?]+')) + 1)) AS tail FROM sh),
@@ -256,8 +268,8 @@ SELECT ex.id, coalesce(bs.t, bf.t) AS hint FROM ex LEFT JOIN bs ON bs.symbol_id
     + r" AS warns, epoch_us(CAST(CASE WHEN regexp_matches(created_at, '(Z|[+-]\d\d:\d\d)$') THEN created_at ELSE created_at || 'Z' END AS TIMESTAMPTZ)) AS micros FROM nt",
     "callers": _BASE
     + _REFS
-    + f""", tk AS (SELECT DISTINCT target_id, unnest({_KEYS}) AS key FROM (SELECT id AS target_id, unnest(list_concat([id, name], CASE WHEN coalesce(class, '') <> '' THEN [class || '.' || name, class || '#' || name] ELSE [] END)) AS r FROM sym WHERE type = 'method'))
-SELECT target_id, src_id AS caller_id, CASE WHEN bool_or(r = key) THEN 'high' ELSE 'medium' END AS confidence FROM rk JOIN tk USING (key) GROUP BY target_id, src_id""",
+    + f""", tk AS (SELECT DISTINCT project, target_id, unnest({_KEYS}) AS key FROM (SELECT project, id AS target_id, unnest(list_concat([id, name], CASE WHEN coalesce(class, '') <> '' THEN [class || '.' || name, class || '#' || name] ELSE [] END)) AS r FROM sym WHERE type = 'method'))
+SELECT target_id, src_id AS caller_id, CASE WHEN bool_or(r = key) THEN 'high' ELSE 'medium' END AS confidence FROM rk JOIN tk USING (project, key) GROUP BY target_id, src_id""",
     "callees": _BASE + _REFS + _EDGES + "SELECT src_id, ref, dst_id, confidence FROM ed",
     "refs_depth": _BASE
     + _REFS
@@ -274,16 +286,28 @@ mn AS (SELECT start, node, min(steps) AS steps FROM wk GROUP BY ALL)
 SELECT start AS start_id, steps, count(*) AS n_nodes FROM mn GROUP BY ALL""",
     "symbol_resolve": _BASE
     + """, q AS (SELECT DISTINCT symbol AS query FROM nt WHERE symbol IS NOT NULL),
-c AS (SELECT class || '.' || name AS query, id, file, loc, 'qualified' AS match, 120 AS score FROM sym WHERE class IS NOT NULL UNION ALL SELECT class || '#' || name, id, file, loc, 'qualified', 120 FROM sym WHERE class IS NOT NULL UNION ALL SELECT name, id, file, loc, 'exact', 100 FROM sym UNION ALL SELECT id, id, file, loc, 'id', 90 FROM sym),
-h AS (SELECT query, id, any_value(file) AS file, any_value(loc) AS loc, max(score) AS score, arg_max(match, score) AS match FROM c JOIN q USING (query) GROUP BY query, id),
+c AS (SELECT lower(class || '.' || name) AS k, id, file, loc, 'qualified' AS match, 120 AS score FROM sym WHERE class IS NOT NULL UNION ALL SELECT lower(class || '#' || name), id, file, loc, 'qualified', 120 FROM sym WHERE class IS NOT NULL UNION ALL SELECT lower(name), id, file, loc, 'exact', 100 FROM sym UNION ALL SELECT lower(id), id, file, loc, 'id', 90 FROM sym),
+h AS (SELECT query, id, any_value(file) AS file, any_value(loc) AS loc, max(score) AS score, arg_max(match, score) AS match FROM c JOIN q ON k = lower(query) GROUP BY query, id),
 r AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS nxt FROM h WINDOW w AS (PARTITION BY query ORDER BY score DESC, file, loc, id))
 SELECT query, id, match, score, coalesce(nxt = score, false) AS ambiguous FROM r WHERE rn = 1""",
-    "import_resolution": _BASE
-    + rf""", im AS (SELECT DISTINCT file, unnest(imports) AS import_text FROM hd), sp AS (SELECT *, CASE WHEN regexp_extract(import_text, '(?:from\s+|require\()[''"]([^''"]+)[''"]', 1) <> '' THEN regexp_extract(import_text, '(?:from\s+|require\()[''"]([^''"]+)[''"]', 1) ELSE import_text END AS spec FROM im),
-wk AS (SELECT file, import_text, string_split(regexp_replace(file, '[^/]*$', '') || spec, '/') AS ps, 0 AS i, []::VARCHAR[] AS acc FROM sp WHERE starts_with(spec, '.')
-  UNION ALL SELECT file, import_text, ps, i + 1, CASE WHEN ps[i + 1] IN ('', '.') THEN acc WHEN ps[i + 1] = '..' THEN acc[:greatest(len(acc) - 1, 0)] ELSE list_append(acc, ps[i + 1]) END FROM wk WHERE i < len(ps)),
-cd AS (SELECT file, import_text, unnest(list_transform({'[' + ', '.join(repr(x) for x in IMPORT_SUFFIXES) + ']'}, lambda s: array_to_string(acc, '/') || s)) AS target FROM wk WHERE i = len(ps))
-SELECT file, import_text, min(target) AS target FROM cd WHERE target IN (SELECT file FROM hd) GROUP BY ALL""",
+    "import_resolution": _BASE + _RELATIVE + "SELECT file, import_text, target FROM ri",
+    "export_resolution": _BASE
+    + _NAMED
+    + r""", pn AS (SELECT project, file, name FROM inm UNION SELECT project, file, regexp_extract(c.extends_name, '([\w$]+)\s*(?:<.*)?$', 1) FROM (SELECT project, file, unnest(classes) AS c FROM hd))
+SELECT n.file, n.name, min(x.target) AS target FROM pn n JOIN xp x ON x.project = n.project AND x.name = n.name AND x.target <> n.file WHERE n.name <> '' GROUP BY n.project, n.file, n.name""",
+    "file_resolve": _BASE
+    + _PATHS
+    + """, q AS (SELECT DISTINCT string_split(file, '/')[-1] AS query FROM nt WHERE file IS NOT NULL)
+SELECT query, min(file) AS file FROM fk JOIN q ON f = lower(query) OR ends_with(f, '/' || lower(query)) WHERE query <> '' GROUP BY query HAVING count(DISTINCT file) = 1""",
+    "file_scoped_resolve": _BASE
+    + _PATHS
+    + r""", q AS (SELECT DISTINCT regexp_replace(file, '\.[^/.]+$', '') AS p, name FROM sym WHERE type = 'method' AND name NOT LIKE '%#%'),
+pl AS (SELECT p, min(file) AS file FROM fk JOIN (SELECT DISTINCT p FROM q) ON f = lower(p) OR ends_with(f, '/' || lower(p)) GROUP BY p HAVING count(DISTINCT file) = 1),
+h AS (SELECT p || '#' || q.name AS query, s.id, s.file, s.loc, CASE WHEN lower(s.name) = lower(q.name) THEN 100 ELSE 90 END AS score FROM q JOIN pl USING (p) JOIN sym s ON s.file = pl.file AND (lower(s.name) = lower(q.name) OR lower(s.id) = lower(q.name))),
+r AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS nxt FROM h WINDOW w AS (PARTITION BY query ORDER BY score DESC, file, loc, id))
+SELECT query, id, CASE score WHEN 100 THEN 'exact' ELSE 'id' END AS match, score, coalesce(nxt = score, false) AS ambiguous FROM r WHERE rn = 1""",
+    "state_writes_by_path": _BASE + _STATE_REFS + "SELECT path, count(*) FILTER (ref_kind = 'write') AS n_writes, count(*) FILTER (ref_kind = 'read') AS n_reads, count(DISTINCT file) AS n_files FROM sr GROUP BY path",
+    "project_overloads": _BASE + "SELECT project, name, count(*) AS n_methods, count(DISTINCT file) AS n_files, count(DISTINCT class) AS n_owners FROM sym WHERE type = 'method' GROUP BY ALL HAVING count(*) > 1",
     "state_references": _BASE + _STATE_REFS + "SELECT file, CAST(line AS INT) AS line, path, ref_kind FROM sr",
     "state_writers": _BASE + _STATE_REFS + "SELECT file, CAST(line AS INT) AS line, path FROM sr WHERE ref_kind = 'write' AND (contains(lower(path), 'value') OR contains(lower(file), 'value')) ORDER BY file, line, path LIMIT 50",
     "state_readers": _BASE + _STATE_REFS + "SELECT file, CAST(line AS INT) AS line, path FROM sr WHERE ref_kind = 'read' ORDER BY file, line, path LIMIT 50",
