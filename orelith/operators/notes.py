@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orelith.operators.search import bm25, postings
+from orelith.operators.search import bm25, knn, postings
 
 
 def matching(notes: DataFrame, search: str | None = None, file: str | None = None, symbol_id: str | None = None, like: bool = False) -> DataFrame:
@@ -50,6 +50,13 @@ def lexical(notes: DataFrame, terms: list[str], limit: int) -> DataFrame:
     return scored.select(F.col("doc_id").alias("id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
+def similar(notes: DataFrame, vectors: DataFrame, query: list[float], limit: int, most: float | None = None) -> DataFrame:
+    """The notes nearest to a query vector, with their distance, at most `most` if given; vectors: (id, kind, vector), those of kind memory count."""
+    near = knn(vectors, query, limit, "memory")
+    near = near if most is None else near.where(F.col("distance") <= most)
+    return notes.join(F.broadcast(near), "id").orderBy("distance", "id")  # at most `limit` rows
+
+
 def scope(symbol_id: Column, symbol: Column, file: Column) -> Column:
     return F.when(symbol_id.isNotNull() | symbol.isNotNull(), "symbol").when(file.isNotNull(), "file").otherwise("project")
 

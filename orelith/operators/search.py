@@ -7,9 +7,11 @@ that every predicate runs inside whole-stage code generation and only the top ro
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orelith.functions.text import compact, list_json, search_terms, split_identifier, tokens
@@ -90,17 +92,23 @@ def exact_score(query: str) -> Column:
     return F.round(score, 6)
 
 
-def valid_pattern(pattern: str) -> bool:
+def valid_pattern(spark: SparkSession, pattern: str) -> bool:
+    """Whether the engine that will run the pattern, Java's, takes it."""
     try:
-        re.compile(pattern)
-    except re.error:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, IllegalArgumentException):
         return False
     return True
 
 
+def quoted(text: str) -> str:
+    """A pattern that matches the text itself."""
+    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
 def regex_search(symbols: DataFrame, pattern: str, limit: int = 20) -> DataFrame:
     """Symbols of which any field matches the pattern in any case, in index order; an invalid pattern matches nothing."""
-    if not valid_pattern(pattern):
+    if not valid_pattern(symbols.sparkSession, pattern):
         return symbols.limit(0)
     plain = ["name", "class", "sig", "file", "insight", "refs_json", "namespace", "decorators_json", "parameters_json", "return_type", "extends_name", "implements_json", "imports_json", "exports_json"]
     fields = [F.coalesce(c, F.lit("")) for c in plain] + [_qualified("."), _qualified("#")]
@@ -118,13 +126,22 @@ def postings(docs: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return each.select("doc_id", "col", F.explode("ts").alias("term")).groupBy("doc_id", "col", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(index: DataFrame, query_terms: list[str], weights: dict[str, float], k1: float = 1.2, b: float = 0.75, double_all: bool = True) -> DataFrame:
+def stored(index: DataFrame, write: Callable[[str, DataFrame], None], read: Callable[[str], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) once written: postings in ranges of terms, sorted, so that a prefix reads few row groups, and the
+    length of every document beside them, so that a query need not read all postings for it. A term in very many documents takes up several ranges."""
+    write("postings", index.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"))
+    write("doc_lengths", read("postings").groupBy("doc_id").agg(F.sum("tf").alias("len")))
+    return read("postings"), read("doc_lengths")
+
+
+def bm25(index: DataFrame, query_terms: list[str], weights: dict[str, float], k1: float = 1.2, b: float = 0.75, double_all: bool = True, lengths: DataFrame | None = None) -> DataFrame:
     """(doc_id, score) of documents that hold any query term as prefix.
 
     f = weighted count of tokens that start with the term; idf = ln((N - n + 0.5) / (n + 0.5)), 1e-6 where not positive;
-    a document with all of two or more terms scores double. N and the average length are over all documents.
+    a document with all of two or more terms scores double. N and the average length are over all documents; lengths
+    (doc_id, len) are summed from the index where they are not given.
     """
-    stats = index.groupBy("doc_id").agg(F.sum("tf").alias("len"))
+    stats = index.groupBy("doc_id").agg(F.sum("tf").alias("len")) if lengths is None else lengths
     total = stats.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
     w = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
     hits = index.where(_any([F.col("term").startswith(t) for t in query_terms]))
@@ -180,9 +197,9 @@ def fuse(signals: DataFrame, query: str) -> DataFrame:
     base = direct_boost(query) + path_proximity(query) + priority
     order = F.struct("signal", "rank")
     rows = signals.withColumn("_part", w[F.col("signal")] / (RANK_BASE + F.col("rank")) + native).withColumn("_base", base)
-    keep = [F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in ("type", "file", "name", "class", "text")]
+    keep = [F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in ("type", "file", "name", "class", "sig", "insight", "refs", "text")]
     out = rows.groupBy("key").agg(F.sum("_part").alias("_s"), F.max("_base").alias("_b"), F.array_join(F.array_sort(F.collect_set("signal")), ",").alias("signals"), *keep)
-    return out.select("key", "type", "file", "name", "class", "text", "signals", F.round(F.col("_s") + F.col("_b"), 6).alias("score"))
+    return out.select("key", "type", "file", "name", "class", "sig", "insight", "refs", "text", "signals", F.round(F.col("_s") + F.col("_b"), 6).alias("score"))
 
 
 def direct_boost(query: str) -> Column:
@@ -203,6 +220,18 @@ def direct_boost(query: str) -> Column:
     )
 
 
+def matched_by(query: str) -> Column:
+    """In which fields of (type, name, class, sig, file, refs, insight) a result meets the query: as text, without marks, or by one of its words."""
+    q, flat, terms = query.lower(), compact(F.lit(query)), tokens(F.lit(query))
+
+    def meets(c: Column) -> Column:
+        low, own = F.lower(F.coalesce(c, F.lit(""))), tokens(F.coalesce(c, F.lit("")))
+        return low.contains(q) | ((F.length(flat) > 1) & compact(F.coalesce(c, F.lit(""))).contains(flat)) | F.exists(terms, lambda t: F.array_contains(own, t) | low.contains(t))
+
+    fields = [("name", meets(F.col("name"))), ("class", meets(F.col("class"))), ("signature", meets(F.col("sig"))), ("file path", meets(F.col("file"))), ("memory", F.col("type") == "memory"), ("refs", F.coalesce(F.exists("refs", meets), F.lit(False))), ("insight", meets(F.col("insight")))]
+    return F.array_compact(F.array(*[F.when(hit, label) for label, hit in fields]))
+
+
 def path_proximity(query: str) -> Column:
     terms, file = tokens(F.lit(query)), _low("file")
     parts = tokens(F.coalesce("file", F.lit("")))

@@ -12,7 +12,7 @@ from orelith.functions.paths import clean_path, extension
 from orelith.operators import audit, graph, incremental, notes, search, sections, state_refs
 from orelith.operators.snapshots import completed_ranks, latest_by
 from orelith.plans import relations
-from orelith.session import table
+from orelith.session import new_path, table
 from orelith.sources import extract
 from orelith.sources.providers import HashingEmbedder, embed_frame
 
@@ -140,18 +140,34 @@ def regex_search(spark, sf):
     return search.regex_search(_symbols(spark, sf), PATTERN, 30).select("id")
 
 
+def _stored_index(spark, sf, kind: str, build) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of a text index, written to the shared folder by the first query of a session that needs it."""
+    key = (spark.sparkContext.applicationId, sf, kind)
+    if key not in _INDEXES:
+        _INDEXES[key] = new_path(spark, f"index-{kind}")
+        search.stored(build(), lambda name, df: df.write.parquet(f"{_INDEXES[key]}/{name}"), lambda name: spark.read.parquet(f"{_INDEXES[key]}/{name}"))
+    return spark.read.parquet(f"{_INDEXES[key]}/postings"), spark.read.parquet(f"{_INDEXES[key]}/doc_lengths")
+
+
+_INDEXES: dict[tuple[str, str, str], str] = {}
+
+
+def _symbol_bm25(spark, sf, terms: list[str]) -> DataFrame:
+    index, lengths = _stored_index(spark, sf, "symbols", lambda: search.symbol_postings(_symbols(spark, sf)))
+    return search.bm25(index, terms, search.COLUMN_WEIGHTS, lengths=lengths)
+
+
 def postings(spark, sf):
     return search.symbol_postings(_symbols(spark, sf)).select("doc_id", F.col("col").alias("field"), "term", "tf")
 
 
 def lexical_bm25(spark, sf):
-    b = search.bm25(search.symbol_postings(_symbols(spark, sf)), ["kettle", "recipe"], search.COLUMN_WEIGHTS)
-    return b.select("doc_id", F.round("score", 6).alias("score"))
+    return _symbol_bm25(spark, sf, ["kettle", "recipe"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def document_bm25(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    return search.bm25(search.postings(d, {"text": F.col("text")}), ["kettle", "recipe"], {"text": 1.0}).select("doc_id", F.round("score", 6).alias("score"))
+    index, lengths = _stored_index(spark, sf, "documents", lambda: search.postings(table(spark, sf, "documents").select("doc_id", "text"), {"text": F.col("text")}))
+    return search.bm25(index, ["kettle", "recipe"], {"text": 1.0}, lengths=lengths).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def memory_lexical(spark, sf):
@@ -185,7 +201,7 @@ def _signals(spark, sf) -> DataFrame:
     attrs = ["id", "type", "file", "name", "class", "sig", "insight", "refs"]
     by = lambda *o: F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*o))  # noqa: E731  over at most the limit's rows
     exact = search.exact_search(s, QUERY, 24).select(*attrs, "score").withColumn("rank", by(F.desc("score"), "file", "name", "id")).select(F.lit("exact").alias("signal"), "rank", F.col("score").alias("native"), *attrs)
-    b = search.bm25(search.symbol_postings(s), [QUERY], search.COLUMN_WEIGHTS).select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(24)
+    b = _symbol_bm25(spark, sf, [QUERY]).select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(24)
     lexical = b.withColumn("rank", by(F.desc("score"), "doc_id")).join(s.select(*attrs), F.col("doc_id") == F.col("id")).select(F.lit("lexical").alias("signal"), "rank", (F.col("score") / (1 + F.col("score"))).alias("native"), *attrs)
     rx = search.regex_search(s, QUERY, 24).select(*attrs, "ordinal").withColumn("rank", by("ordinal")).select(F.lit("regex").alias("signal"), "rank", F.lit(0.5).alias("native"), *attrs)
     near = vector_knn(spark, sf).withColumn("rank", by("distance", "id")).withColumnRenamed("id", "vid").join(s.select(*attrs), F.col("vid") == F.col("id")).select(F.lit("vector").alias("signal"), "rank", F.col("distance").alias("native"), *attrs)

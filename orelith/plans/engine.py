@@ -7,18 +7,19 @@ import uuid
 from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orelith.functions import rules, text
 from orelith.functions.identity import checksum, class_id, method_ids
-from orelith.operators import audit, graph, incremental, notes, search, state_refs
+from orelith.operators import audit, graph, incremental, notes, queue, search, state_refs
 from orelith.operators.sections import markdown_sections, text_chunks
 from orelith.session import ship
 from orelith.sources import extract, files
 from orelith.sources.providers import Embedder, HashingEmbedder, Reranker, embed_frame
-from orelith.sources.store import IndexStore
+from orelith.sources.store import IndexStore, embed_missing
 
 
 @dataclass(frozen=True)
@@ -81,13 +82,14 @@ class Engine:
 
     def sync(self, changed: DataFrame, deleted: DataFrame | None = None) -> dict[str, int]:
         """Single files: changed (file, text), deleted (file)."""
-        counts = self.ingest(changed, complete=False)
+        return self.ingest(changed, complete=False, deleted=deleted)
+
+    def ingest(self, current: DataFrame, complete: bool, deleted: DataFrame | None = None) -> dict[str, int]:
+        """Files vanish first, then changed ones are parsed; edges are made last, from what is left. A manifest tells the run."""
+        generation, started = f"gen-{uuid.uuid4().hex[:10]}", datetime.now(UTC).isoformat()
+        self._manifest(generation, started, "running", {})
         if deleted is not None:
             self.store.remove_files(deleted)
-        return counts
-
-    def ingest(self, current: DataFrame, complete: bool) -> dict[str, int]:
-        generation = f"gen-{uuid.uuid4().hex[:10]}"
         now = current.select("file", "text", checksum("text").alias("checksum"))
         empty = self.spark.createDataFrame([], "file string, checksum string")
         tracked = self.store.read("tracked_files") if self.store.exists("tracked_files") else empty
@@ -95,6 +97,8 @@ class Engine:
         states = incremental.file_states(now.select("file", "checksum"), tracked, known).persist()
         try:
             counts = {r["state"]: r["n"] for r in states.groupBy("state").agg(F.count("*").alias("n")).collect()}
+            if complete and counts.get("vanished"):
+                self.store.remove_files(states.where("state = 'vanished'").select("file"))
             fresh = now.join(states.where(F.col("state").isin("added", "changed", "missing-header")).select("file"), "file", "left_semi")
             heads = self._headers(fresh, generation)
             self.store.upsert("headers", heads, "file") if not self.store.exists("headers") else self._replace("headers", heads, fresh)
@@ -102,14 +106,40 @@ class Engine:
             self._replace("symbols", self._symbols(heads.join(fresh.select("file"), "file", "left_semi")), fresh)
             self._replace("state_refs", state_refs.state_references(fresh), fresh)
             self._replace("vectors", self._vectors(self.store.read("symbols").join(fresh.select("file"), "file", "left_semi")), fresh)
-            if complete and counts.get("vanished"):
-                self.store.remove_files(states.where("state = 'vanished'").select("file"))
+            if self.config.insights:
+                self._enqueue(fresh)
             self.store.upsert("tracked_files", now.select("file", "checksum"), "file")
             self.store.write("edges", graph.edges(self.store.read("symbols")))
+            search.stored(search.symbol_postings(self.store.read("symbols")), self.store.write, self.store.read)
+            self._manifest(generation, started, "completed", counts)
             return counts
         finally:
             states.unpersist()
 
+    def _manifest(self, generation: str, started: str, status: str, counts: dict[str, int]) -> None:
+        done = status == "completed"
+        indexed = self.store.count("headers") if done else 0
+        methods = self.store.read("symbols").where("type = 'method'").count() if done else 0
+        changed = counts.get("changed", 0) + counts.get("added", 0) + counts.get("missing-header", 0)
+        failed = max(0, self.store.count("tracked_files") - indexed) if done else 0
+        row = self.spark.createDataFrame([(generation, started, datetime.now(UTC).isoformat() if done else None, status, indexed, changed, counts.get("unchanged", 0), failed, methods)], "generation_id string, started_at string, finished_at string, status string, indexed_files long, changed_files long, skipped_files long, failed_files long, total_methods long")
+        old = self.store.read("manifests").drop("age", "is_latest", "compaction") if self.store.exists("manifests") else row.limit(0)
+        self.store.write("manifests", incremental.manifest_history(incremental.upsert(old, row, "generation_id")))
+
+    def manifests(self) -> DataFrame:
+        """The latest run and up to 20 before it, latest first."""
+        return self.store.read("manifests").orderBy("age")
+
+    def _enqueue(self, fresh: DataFrame) -> None:
+        """Methods of fresh files that have no insight wait in the queue."""
+        old = self.store.read("insight_queue") if self.store.exists("insight_queue") else self.spark.createDataFrame([], queue.SCHEMA)
+        bare = self.store.read("symbols").where("type = 'method' AND coalesce(insight, '') = ''").join(fresh.select("file"), "file", "left_semi")
+        self.store.write("insight_queue", queue.enqueue(old, bare.select("file", F.col("id").alias("method_id"), F.col("sig").alias("code")), datetime.now(UTC).isoformat()))
+
+    def pending_insights(self) -> DataFrame:
+        """(file, n_pending) of methods that wait for an insight."""
+        return queue.pending_by_file(self.store.read("insight_queue") if self.store.exists("insight_queue") else self.spark.createDataFrame([], queue.SCHEMA))
+
     def _replace(self, table: str, rows: DataFrame, of: DataFrame) -> None:
         old = incremental.without_files(self.store.read(table), of) if self.store.exists(table) else None
         self.store.write(table, rows if old is None else old.unionByName(rows, allowMissingColumns=True))
@@ -136,9 +166,20 @@ class Engine:
         return m.unionByName(c).withColumn("ordinal", F.concat_ws("|", "file", "id")).withColumn("project", F.lit(""))
 
     def _vectors(self, symbols: DataFrame) -> DataFrame:
-        said = text.join_present([F.col("namespace"), F.col("class"), F.col("name"), F.col("sig"), F.col("insight"), text.path_keywords("file")])
-        kept = symbols.select("id", "file", F.col("type").alias("kind"), F.col("id").alias("key"), said.alias("text"))
-        return embed_frame(kept, self.embedder).join(kept.select("key", "id", "file", "kind"), "key").select("id", "file", "kind", "vector")
+        """Methods by what they say and where, classes by their parents and method names; what was embedded before comes from the cache."""
+        inside = symbols.where("type = 'method' AND class IS NOT NULL").groupBy("file", "class").agg(F.array_join(F.array_sort(F.collect_set("name")), " ").alias("_m"))
+        place = text.path_keywords("file")
+        method = text.join_present([F.col("namespace"), F.col("class"), F.col("name"), F.col("sig"), F.col("return_type"), F.col("insight"), place])
+        owner = text.join_present([F.col("namespace"), F.col("class"), F.col("extends_name"), F.col("_m"), place])
+        kept = symbols.join(inside, ["file", "class"], "left").select("id", "file", F.col("type").alias("kind"), F.when(F.col("type") == "class", owner).otherwise(method).alias("text"))
+        return self._embedded(kept).select("id", "file", "kind", "vector")
+
+    def _embedded(self, texts: DataFrame) -> DataFrame:
+        cache = self.store.read("embedding_cache") if self.store.exists("embedding_cache") else self.spark.createDataFrame([], "key string, vector array<float>")
+        embed = lambda d: embed_frame(d, self.embedder)
+        _, fresh = embed_missing(texts, cache, embed, self.embedder.name, self.embedder.dims)
+        self.store.upsert("embedding_cache", fresh, "key")
+        return embed_missing(texts, self.store.read("embedding_cache"), embed, self.embedder.name, self.embedder.dims)[0].where("vector IS NOT NULL")
 
     # -- search
 
@@ -172,7 +213,7 @@ class Engine:
         s = self._typed(kind)
         if mode == "regex":
             rows = search.regex_search(s, query, n)
-            return Answer(rows, "regex", confidence=0.85, warnings=[] if search.valid_pattern(query) else ["invalid pattern"])
+            return Answer(rows, "regex", confidence=0.85, warnings=[] if search.valid_pattern(self.spark, query) else ["invalid pattern"])
         if mode in ("vector", "hybrid") or (mode == "auto" and self.intent(query) == "semantic"):
             return self.hybrid(query, n, kind)
         rows = search.exact_search(s, query, n)
@@ -197,9 +238,9 @@ class Engine:
         at = lambda *o: F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*o))  # noqa: E731  over at most `most` rows
         parts = [search.exact_search(s, query, most).withColumn("rank", at(F.desc("score"), "file", "name", "id")).select(F.lit("exact").alias("signal"), "rank", F.col("score").alias("native"), *attrs)]
         if terms := search.query_terms(self.spark, query):
-            b = search.bm25(search.symbol_postings(s), terms, search.COLUMN_WEIGHTS).orderBy(F.desc("score"), "doc_id").limit(most)
+            b = search.bm25(self.store.read("postings"), terms, search.COLUMN_WEIGHTS, lengths=self.store.read("doc_lengths")).orderBy(F.desc("score"), "doc_id").limit(most)
             parts.append(b.withColumn("rank", at(F.desc("score"), "doc_id")).join(s.select(*attrs), F.col("doc_id") == F.col("id")).select(F.lit("lexical").alias("signal"), "rank", (F.col("score") / (1 + F.col("score"))).alias("native"), *attrs))
-        parts.append(search.regex_search(s, re.escape(query), most).withColumn("rank", at("ordinal")).select(F.lit("regex").alias("signal"), "rank", F.lit(0.5).alias("native"), *attrs))
+        parts.append(search.regex_search(s, search.quoted(query), most).withColumn("rank", at("ordinal")).select(F.lit("regex").alias("signal"), "rank", F.lit(0.5).alias("native"), *attrs))
         if self.store.exists("vectors"):
             near = search.knn(self.store.read("vectors"), self.embedder.embed([query])[0], most, None if kind == "all" else kind)
             parts.append(near.withColumn("rank", at("distance", "id")).withColumnRenamed("id", "vid").join(s.select(*attrs), F.col("vid") == F.col("id")).select(F.lit("vector").alias("signal"), "rank", F.col("distance").alias("native"), *attrs))
@@ -209,10 +250,12 @@ class Engine:
         if kind in ("all", "memory"):
             m = notes.matching(self.notes(), query).limit(most)
             blank = [F.lit(None).cast(t).alias(c) for c, t in (("name", "string"), ("class", "string"), ("sig", "string"), ("loc", "string"), ("insight", "string"), ("refs", "array<string>"))]
-            signals = signals.unionByName(m.select(F.lit("memory").alias("signal"), F.lit(1).alias("rank"), F.lit(0.0).alias("native"), "id", F.lit("memory").alias("type"), "file", *blank, "text"))
+            for name, rows in (("memory", m), ("memory-similar", self.similar(query, most))):
+                signals = signals.unionByName(rows.select(F.lit(name).alias("signal"), F.lit(1).alias("rank"), F.lit(0.0).alias("native"), "id", F.lit("memory").alias("type"), "file", *blank, "text"))
         fused = search.fuse(signals.withColumnRenamed("id", "key"), query)
         if kind != "all":
             fused = fused.where(F.col("type") == kind)
+        fused = fused.withColumn("matched_by", search.matched_by(query))
         return Answer(fused.withColumnRenamed("key", "id").orderBy(F.desc("score"), "id").limit(limit), "hybrid", confidence=0.75)
 
     def smart_search(self, query: str, limit: int | None = None) -> Answer:
@@ -325,11 +368,15 @@ class Engine:
     def stale(self, root: str) -> DataFrame:
         disk = files.scan(self.spark, root, list(self.config.include), list(self.config.exclude)).select("file", checksum("text").alias("checksum"))
         s = self.symbols()
-        return audit.stale_issues(self.store.read("tracked_files"), disk, self.store.read("headers"), s.where("type = 'method'"), self.store.count("vectors"), s.count(), list(self.config.languages), self.config.insights)
+        return audit.stale_issues(self.store.read("tracked_files"), disk, self.store.read("headers"), s.where("type = 'method'"), self._n_vectors(), s.count(), list(self.config.languages), self.config.insights, self.pending_insights().agg(F.sum("n_pending")).first()[0] or 0)
+
+    def _n_vectors(self) -> int:
+        """Vectors of symbols; those of notes do not count."""
+        return self.store.read("vectors").where("kind <> 'memory'").count() if self.store.exists("vectors") else 0
 
     def status(self) -> dict[str, int]:
         s = self.symbols()
-        return {"files": self.store.count("tracked_files"), "symbols": s.count(), "methods": s.where("type = 'method'").count(), "vectors": self.store.count("vectors"), "notes": self.store.count("memories")}
+        return {"files": self.store.count("tracked_files"), "symbols": s.count(), "methods": s.where("type = 'method'").count(), "vectors": self._n_vectors(), "pending": self.pending_insights().agg(F.sum("n_pending")).first()[0] or 0, "notes": self.store.count("memories")}
 
     # -- notes
 
@@ -338,8 +385,20 @@ class Engine:
         scope = "symbol" if symbol or symbol_id else "file" if file else "project"
         row = self.spark.createDataFrame([(i, note, file, symbol, symbol_id, scope, created_at)], "id string, text string, file string, symbol string, symbol_id string, scope string, created_at string")
         self.store.upsert("memories", row, "id")
+        said = self._embedded(row.select("id", F.lit(None).cast("string").alias("file"), F.lit("memory").alias("kind"), "text"))
+        self.store.upsert("vectors", said.select("id", "file", "kind", "vector"), "id")
         return i
 
+    def similar(self, query: str, limit: int = 5, most: float = 0.7) -> DataFrame:
+        """Notes by the distance of their vectors to the query's; without vectors, or where none is near enough, by their words."""
+        if self.store.exists("vectors"):
+            near = notes.similar(self.notes(), self.store.read("vectors"), self.embedder.embed([query])[0], limit, most)
+            if not near.isEmpty():
+                return near.drop("distance")
+        terms = search.query_terms(self.spark, query)
+        scored = notes.lexical(self.notes(), terms, limit) if terms else None
+        return self.notes().limit(0) if scored is None else self.notes().join(F.broadcast(scored), "id").orderBy(F.desc("score"), "id").drop("score")
+
     def memories(self, query: str | None = None, file: str | None = None, symbol_id: str | None = None) -> DataFrame:
         return notes.matching(self.notes(), query, file, symbol_id)
 
@@ -348,7 +407,10 @@ class Engine:
         gone = old.where(F.col("id") == note_id) if note_id else notes.before(old, before or "")
         n = gone.count()
         if n:
-            self.store.write("memories", old.join(gone.select("id"), "id", "left_anti"))
+            drop = gone.select("id")
+            if self.store.exists("vectors"):
+                self.store.write("vectors", self.store.read("vectors").join(drop, "id", "left_anti"))
+            self.store.write("memories", old.join(drop, "id", "left_anti"))
         return n
 
     # -- watching

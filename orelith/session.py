@@ -38,7 +38,22 @@ _LOCAL: str | None = None
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder among the application's own, which are deleted when the driver ends."""
+    own = f"{shared_dir(spark)}/orelith-{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        _OWN.add(own)
+        atexit.register(_forget, spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        drop_path(spark, path)
+    except Exception:  # noqa: BLE001  the session may have ended before; then the folder is left to whoever keeps the share
+        pass
+
+
+_OWN: set[str] = set()
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from orelith.operators.incremental import upsert, without_files
 from orelith.session import drop_path
 
-TABLES = ("tracked_files", "headers", "symbols", "state_refs", "vectors", "memories", "edges", "insight_queue")
+TABLES = ("tracked_files", "headers", "symbols", "state_refs", "vectors", "memories", "edges", "insight_queue", "postings", "doc_lengths")
 
 
 class IndexStore:
@@ -37,8 +37,12 @@ class IndexStore:
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
         _, path = self._fs("current.json")
-        fs.delete(path, False)
-        fs.rename(fresh, path)
+        sc = self.spark.sparkContext
+        kind = getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename")
+        over = sc._gateway.new_array(kind, 1)
+        over[0] = kind.OVERWRITE
+        # in one step, so that a reader finds the old pointer or the new one
+        sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration()).rename(fresh, path, over)
 
     def exists(self, table: str) -> bool:
         return table in self.versions()

@@ -116,6 +116,33 @@ def test_sync_notes_and_rerank(engine):
     assert format_row({"type": "method", "name": "a", "class": "B", "file": "f", "loc": "1-2"}) == "[method] B#a (f:1-2)" and compact_row({"a": None, "b": {"c": []}, "d": 1}) == {"d": 1}
 
 
+def test_index_follows_deletions_and_remembers(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}", Config(insights=True))
+    f = lambda *rows: spark.createDataFrame(list(rows), "file string, text string")
+    e.ingest(f(("a.ts", "import { helper } from './b';\nexport function main() { helper(1); }\n"), ("b.ts", "export function helper(x) { return x; }\n")), complete=True)
+    target = e.callees("main").first()
+    assert target["confidence"] == "high" and target["dst_id"] is not None
+    assert {r["file"]: r["n_pending"] for r in e.pending_insights().collect()} == {"a.ts": 1, "b.ts": 1} and e.status()["pending"] == 2
+    cached = e.store.count("embedding_cache")
+    e.sync(f().limit(0), spark.createDataFrame([("b.ts",)], "file string"))
+    assert e.callees("main").first()["dst_id"] is None and e.store.count("embedding_cache") == cached
+    runs = e.manifests().collect()
+    assert [r["status"] for r in runs] == ["completed", "completed"] and runs[0]["is_latest"] and runs[1]["compaction"] and runs[1]["indexed_files"] == 2 and runs[1]["total_methods"] == 2
+    n_vectors = e.status()["vectors"]
+    i = e.remember("take care of the main entry point", "2025-01-01")
+    assert e.status()["vectors"] == n_vectors and e.similar("main entry point", most=1.3).first()["id"] == i
+    assert e.similar("entry", most=0.01).first()["id"] == i and e.similar("zzz qqq", most=0.01).count() == 0  # by words
+    hits = {r["id"]: r for r in e.hybrid("main entry", 10).rows.collect()}
+    assert "memory" in hits[i]["signals"] and "memory" in hits[i]["matched_by"] and any("name" in r["matched_by"] for r in hits.values())
+    assert e.forget(i) == 1 and e.store.read("vectors").where("kind = 'memory'").count() == 0
+
+
+def test_patterns_are_checked_by_the_engine_that_runs_them(spark):
+    assert not search.valid_pattern(spark, "(?P<x>get)") and not search.valid_pattern(spark, "(") and search.valid_pattern(spark, "(?<x>get)")
+    d = spark.createDataFrame([("a.b\\Ec",), ("aXb",)], "t string")
+    assert [r["t"] for r in d.where(F.col("t").rlike(search.quoted("a.b\\Ec"))).collect()] == ["a.b\\Ec"]
+
+
 def test_sections_cap_and_blanks(spark):
     long = "\n".join(["x"] * 80) + "\n\n" + "y"
     d = spark.createDataFrame([("a", "\n\none\ntwo\n\n\nthree", 1), ("b", long, 1), ("c", None, 1), ("d", "", 1), ("e", " \n ", 1)], "file string, text string, name int")
