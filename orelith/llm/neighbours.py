@@ -2,7 +2,8 @@
 
 Rotated unit vectors are kept in column blocks. Within a probed list the partial distance over the first block of
 dimensions is known for all candidates at once; a hypothesis test abandons those whose full distance can hardly lie
-within the bound, so the remaining dimensions are read for few candidates only.
+within the query's bound, which falls to its k-th smallest distance as members are scanned, so the remaining dimensions
+are read for few candidates only.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ LIST_SIZE = 600  # vectors a list should hold
 MAX_LIST = 4_000  # a larger list is cut into chunks, all of which are probed
 PROBES = 10  # lists probed per vector
 BUNDLE = 24_000  # vectors of neighbouring lists that one task holds
+ASKERS = 100_000  # vectors that one task looks up in them
+STEP = 1_024  # members scanned before the bounds are lowered
 BLOCK = 16  # dimensions per column block
 EPSILON = 2.1  # strictness of the abandoning test; larger keeps more candidates
 SEED = 7
@@ -56,7 +59,7 @@ def fit_lists(sample: np.ndarray, n_lists: int, rounds: int = 6) -> np.ndarray:
     n_lists = max(1, min(n_lists, len(sample)))
     centres = sample[rng.choice(len(sample), n_lists, replace=False)].copy()
     for _ in range(rounds):
-        own = np.concatenate([np.argmax(sample[i : i + 8192] @ centres.T, axis=1) for i in range(0, len(sample), 8192)])
+        own = np.concatenate([np.argmax(sample[i : i + 512] @ centres.T, axis=1) for i in range(0, len(sample), 512)])
         total = np.zeros_like(centres)
         np.add.at(total, own, sample)
         norm = np.linalg.norm(total, axis=1, keepdims=True)
@@ -86,7 +89,8 @@ def neighbours(vectors: DataFrame, dims: int, k: int = 5, least: float = 0.85, p
     Vectors that are null, of another length, all zero or hold null or NaN take no part. Ties go to the smaller id.
     Exact copies are one class while searching and are then given their k nearest without pairing all copies; lists are
     fitted on a bounded sample (SAMPLE), every vector is indexed. Approximate: a neighbour whose list is not among the
-    `probes` nearest is missed. A list larger than MAX_LIST is searched in chunks, so no task grows with a hot region.
+    `probes` nearest is missed. A list larger than MAX_LIST is searched in chunks, and where many vectors probe a bundle of
+    lists they are dealt to several tasks, each with its own copy of the members: no task grows with a hot region.
     """
     spark = vectors.sparkSession
     clean = usable(vectors, dims)
@@ -110,21 +114,25 @@ def neighbours(vectors: DataFrame, dims: int, k: int = 5, least: float = 0.85, p
     lists = spark.sparkContext.broadcast((np.concatenate(centres), np.array(kinds)))  # at most SAMPLE rows
     assigned = materialise(classes.mapInPandas(_assign(lists, dims, probes), "kind string, rep string, unit binary, own int, probes array<int>"), "lists")
     sizes = {r["own"]: r["n"] for r in assigned.groupBy("own").agg(F.count("*").alias("n")).collect()}  # one row per list
+    asked = {r["list"]: r["n"] for r in assigned.select(F.explode("probes").alias("list")).groupBy("list").agg(F.count("*").alias("n")).collect()}  # one row per list
     # chunks of lists are packed into bundles in the order in which neighbouring lists stand
-    chunks, bundle, filled, first = [], 0, 0, [0]
+    chunks, askers, filled, first = [], [0], 0, [0]
     cap = max(LIST_SIZE, min(BUNDLE, -(-total // max(1, spark.sparkContext.defaultParallelism))))
     for i in range(len(kinds)):
         n = max(1, -(-sizes.get(i, 0) // MAX_LIST))
         for _ in range(n):
             part = sizes.get(i, 0) / n
             if filled and filled + part > cap:
-                bundle, filled = bundle + 1, 0
+                askers.append(0)
+                filled = 0
             filled += part
-            chunks.append(bundle)
+            askers[-1] += asked.get(i, 0)  # an upper bound: a vector that probes two lists of a bundle comes once
+            chunks.append(len(askers) - 1)
         first.append(len(chunks))
-    place = spark.sparkContext.broadcast((np.array(first), np.array(chunks)))
-    sent = assigned.mapInPandas(_send(place), "bundle int, rep string, unit binary, chunk int, wanted array<int>")
-    found = sent.repartitionById(bundle + 1, F.col("bundle")).mapInPandas(_scan(dims, k, least), "rep string, other string, similarity double")
+    deals = [max(1, -(-n // ASKERS)) for n in askers]
+    place = spark.sparkContext.broadcast((np.array(first), np.array(chunks), np.concatenate([[0], np.cumsum(deals)])))
+    sent = assigned.mapInPandas(_send(place), "task int, rep string, unit binary, chunk int, wanted array<int>")
+    found = sent.repartitionById(sum(deals), F.col("task")).mapInPandas(_scan(dims, k, least), "rep string, other string, similarity double")
     near = found.where(F.col("rep") != F.col("other")).withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("similarity"), "other"))).where(F.col("r") <= k).drop("r")
     if not any(c for _, c in counts.values()):
         return near.select(F.col("rep").alias("id"), F.col("other").alias("neighbour"), "similarity")
@@ -132,34 +140,66 @@ def neighbours(vectors: DataFrame, dims: int, k: int = 5, least: float = 0.85, p
 
 
 def _assign(lists, dims: int, probes: int):
+    """The nearest lists by two levels: the centres are grouped, and only those of the nearest groups are compared."""
     def run(batches):
         centres, kinds = lists.value
-        at = {k: np.flatnonzero(kinds == k) for k in np.unique(kinds)}
+        levels = {}
+        for k in np.unique(kinds):
+            ids = np.flatnonzero(kinds == k)
+            tops = fit_lists(centres[ids], int(np.ceil(len(ids) ** 0.5)))
+            member = np.argmax(centres[ids] @ tops.T, axis=1)
+            levels[k] = tops, [ids[member == g] for g in range(len(tops))]
         for pdf in batches:
             for kind, own in pdf.groupby("kind"):
                 x = np.frombuffer(b"".join(own["unit"]), "<f4").reshape(-1, dims)
-                ids = at[kind]
-                s = x @ centres[ids].T
-                p = min(probes, len(ids))
-                top = np.argpartition(-s, p - 1, axis=1)[:, :p]
-                yield pd.DataFrame({"kind": kind, "rep": own["rep"], "unit": own["unit"], "own": ids[np.argmax(s, axis=1)].astype("int32"), "probes": list(ids[top].astype("int32"))})
+                top = [nearest_lists(x[i : i + 1024], centres, *levels[kind], probes) for i in range(0, len(x), 1024)]
+                top = [t for part in top for t in part]
+                yield pd.DataFrame({"kind": kind, "rep": own["rep"], "unit": own["unit"], "own": np.array([t[0] for t in top], "int32"), "probes": top})
 
     return run
 
 
+def nearest_lists(x: np.ndarray, centres: np.ndarray, tops: np.ndarray, groups: list[np.ndarray], probes: int) -> list[np.ndarray]:
+    """Per row the numbers of at most `probes` nearest centres, nearest first, out of the third (at least four) of the groups that are nearest."""
+    coarse = x @ tops.T
+    width = min(len(tops), max(4, -(-len(tops) // 3)))
+    into = np.argpartition(-coarse, width - 1, axis=1)[:, :width]
+    rows, lists, sims = [], [], []
+    for g, members in enumerate(groups):
+        at = np.flatnonzero((into == g).any(1))
+        if len(at) and len(members):
+            s = x[at] @ centres[members].T
+            p = min(probes, len(members))
+            best = np.argpartition(-s, p - 1, axis=1)[:, :p]
+            rows.append(np.repeat(at, p))
+            lists.append(members[best].ravel())
+            sims.append(np.take_along_axis(s, best, 1).ravel())
+    row, number, sim = np.concatenate(rows), np.concatenate(lists), np.concatenate(sims)
+    order = np.lexsort((number, -sim, row))
+    row, number = row[order], number[order].astype("int32")
+    start = np.searchsorted(row, np.arange(len(x) + 1))
+    return [number[a : min(a + probes, b)] for a, b in zip(start[:-1], start[1:], strict=True)]
+
+
 def _send(place):
+    """A vector goes as member to every task of its chunk's bundle, and as asker to one task of each bundle it probes."""
     def run(batches):
-        first, chunks = place.value
+        first, chunks, tasks = place.value
         for pdf in batches:
             out = []
             for rep, unit, own, probes in zip(pdf["rep"], pdf["unit"], pdf["own"], pdf["probes"], strict=True):
-                home = first[own] + hash_of(rep) % (first[own + 1] - first[own])
-                want: dict[int, list[int]] = {int(chunks[home]): []}
+                drawn = hash_of(rep)
+                home = int(first[own] + drawn % (first[own + 1] - first[own]))
+                want: dict[int, list[int]] = {}
                 for p in probes:
                     for c in range(first[p], first[p + 1]):
-                        want.setdefault(int(chunks[c]), []).append(c)
-                out += [(b, rep, unit, int(home) if b == chunks[home] else -1, c) for b, c in want.items()]
-            yield pd.DataFrame(out, columns=["bundle", "rep", "unit", "chunk", "wanted"]).astype({"bundle": "int32", "chunk": "int32"})
+                        b = chunks[c]
+                        want.setdefault(int(tasks[b] + drawn // 65_536 % (tasks[b + 1] - tasks[b])), []).append(c)
+                at = chunks[home]
+                for t in range(tasks[at], tasks[at + 1]):
+                    out.append((t, rep, unit, home, want.pop(t, [])))
+                out += [(t, rep, unit, -1, c) for t, c in want.items()]
+            yield pd.DataFrame(out, columns=["task", "rep", "unit", "chunk", "wanted"]).astype({"task": "int32", "chunk": "int32"})
 
     return run
 
@@ -171,7 +211,7 @@ def hash_of(text: str) -> int:
 
 
 def _scan(dims: int, k: int, least: float):
-    """One bundle: its chunks' members in column blocks, and the vectors that probe them."""
+    """One task: a bundle's members in column blocks, and vectors that probe them."""
     def run(batches):
         rows = [p for p in batches if len(p)]
         if not rows:
@@ -179,8 +219,9 @@ def _scan(dims: int, k: int, least: float):
         pdf = pd.concat(rows, ignore_index=True)
         x = np.frombuffer(b"".join(pdf["unit"]), "<f4").reshape(-1, dims)
         ids, chunk = pdf["rep"].to_numpy(object), pdf["chunk"].to_numpy()
-        for b in np.unique(pdf["bundle"]):
-            here = (pdf["bundle"] == b).to_numpy()
+        bounds = np.full(len(x), 2 - 2 * least)  # squared distances; a vector's falls from chunk to chunk
+        for b in np.unique(pdf["task"]):
+            here = (pdf["task"] == b).to_numpy()
             wanted = pdf["wanted"][here]
             ask = np.repeat(np.flatnonzero(here), [len(w) for w in wanted])
             of = np.concatenate([np.asarray(w, np.int64) for w in wanted]) if len(wanted) else np.array([], np.int64)
@@ -192,30 +233,55 @@ def _scan(dims: int, k: int, least: float):
                 members = np.flatnonzero(here & (chunk == of[lo]))
                 if len(members):
                     for part in np.array_split(queries, -(-len(queries) // 2048)):
-                        q, m, s = scan_list(x[part], x[members], k, least)
+                        own = bounds[part]
+                        q, m, s = scan_list(x[part], x[members], k, least, own)
+                        bounds[part] = own
                         if len(q):
                             yield pd.DataFrame({"rep": ids[part[q]], "other": ids[members[m]], "similarity": s})
 
     return run
 
 
-def scan_list(queries: np.ndarray, members: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scan_list(queries: np.ndarray, members: np.ndarray, k: int, least: float, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, member, similarity): per query up to k + 1 members with similarity >= least, abandoning early.
 
     With squared distance d = 2 - 2s over unit vectors, the partial distance over the first b of D dimensions scaled by
-    D / b estimates d; a candidate is given up once that estimate exceeds the bound by the factor (1 + EPSILON / sqrt(b))^2.
+    D / b estimates d; a candidate is given up once that estimate exceeds the query's bound by the factor
+    (1 + EPSILON / sqrt(b))^2. The bound is what `least` allows, or the query's (k + 1)-th smallest distance so far
+    (it may meet itself) where that is less; bounds is lowered in place.
     """
-    dims, bound = queries.shape[1], 2 - 2 * least
-    head = (queries[:, :BLOCK] ** 2).sum(1)[:, None] + (members[:, :BLOCK] ** 2).sum(1) - 2 * (queries[:, :BLOCK] @ members[:, :BLOCK].T)
-    limit = bound * (1 + EPSILON / BLOCK**0.5) ** 2 * BLOCK / dims
-    q, m = np.nonzero(head <= limit)
-    d, b = head[q, m].astype(np.float64), BLOCK
-    while b < dims and len(q):
-        to = min(dims, b + BLOCK)
-        d += ((queries[q, b:to] - members[m, b:to]).astype(np.float64) ** 2).sum(1)
-        b = to
-        keep = d <= (bound if b == dims else bound * (1 + EPSILON / b**0.5) ** 2 * b / dims) + 1e-6
-        q, m, d = q[keep], m[keep], d[keep]
+    dims = queries.shape[1]
+    bounds = np.full(len(queries), 2 - 2 * least) if bounds is None else bounds
+    of_q = [np.ascontiguousarray(queries[:, i : i + BLOCK]) for i in range(0, dims, BLOCK)]
+    of_m = [np.ascontiguousarray(members[:, i : i + BLOCK]) for i in range(0, dims, BLOCK)]
+    head_q, head_m = (of_q[0] ** 2).sum(1), (of_m[0] ** 2).sum(1)
+    best = np.tile(bounds[:, None], (1, k + 1))
+    found = []
+    for lo in range(0, len(members), STEP):
+        head = head_q[:, None] + head_m[lo : lo + STEP] - 2 * (of_q[0] @ of_m[0][lo : lo + STEP].T)
+        seen = of_q[0].shape[1]
+        q, m = np.nonzero(head <= (bounds * (1 + EPSILON / seen**0.5) ** 2 * seen / dims + 1e-6)[:, None])
+        d = head[q, m].astype(np.float64)
+        m += lo
+        for a, b in zip(of_q[1:], of_m[1:], strict=True):
+            if not len(q):
+                break
+            d += ((a[q] - b[m]).astype(np.float64) ** 2).sum(1)
+            seen += a.shape[1]
+            keep = d <= bounds[q] * (1.0 if seen >= dims else (1 + EPSILON / seen**0.5) ** 2 * seen / dims) + 1e-6
+            q, m, d = q[keep], m[keep], d[keep]
+        if not len(q):
+            continue
+        found.append((q, m))
+        order = np.lexsort((d, q))
+        q, d = q[order], d[order]
+        at = np.arange(len(q)) - np.searchsorted(q, q, "left")
+        few = at <= k
+        new = np.full_like(best, np.inf)
+        new[q[few], at[few]] = d[few]
+        best = np.sort(np.concatenate([best, new], axis=1), axis=1)[:, : k + 1]
+        np.minimum(bounds, best[:, k] + 1e-6, out=bounds)
+    q, m = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.array([], int), np.array([], int))
     s = np.einsum("ij,ij->i", queries[q].astype(np.float64), members[m].astype(np.float64))
     keep = s >= least
     q, m, s = q[keep], m[keep], s[keep]

@@ -31,7 +31,8 @@ ROUNDS = 2  # of centroid refinement
 NEAR = 0.45  # least cosine of a sentence with its subject's centroid
 LONG = 0.08  # least length of a sentence's vector: shorter ones hold no word of any subject
 SHARE = 0.25  # of a document's sentences
-TASKS = 512  # at most so many partial matrices are summed
+HELD = 100_000  # terms whose partial sums a task holds before it passes them on
+SLICE = 20_000  # terms that are summed together
 
 _BREAK = re.compile(r"(?<=[.!?])\s+|\n+")
 _CAMEL = re.compile(r"(?<=[^\W\d_A-Z])(?=[A-Z])")
@@ -131,14 +132,13 @@ def subject_counts(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
 
     coded = materialise(parsed.mapInPandas(code, "doc_id long, lang int, said array<array<int>>"), "coded")
     size = n_terms * len(langs)
-    wide = coded.coalesce(TASKS)
-    mass = _product(wide, size, np.ones((size, 1), np.float32))[:, 0]
-    vectors = _decompose(wide, size, n_terms, mass)
+    mass = _product(coded, size, np.ones((size, 1), np.float32))[:, 0]
+    vectors = _decompose(coded, size, n_terms, mass)
     centres, own, of = _seeds(coded, labels, subjects, vectors, kept["term"].tolist(), len(langs), n_terms)
     if not len(own):
         return spark.createDataFrame([], "doc_id long, lang string, n_sentences int, subject string, n_about int")
     for _ in range(ROUNDS):
-        centres = _refine(wide, vectors, centres, of)
+        centres = _refine(coded, vectors, centres, of)
     model = spark.sparkContext.broadcast((vectors, centres, own, of))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,11 +203,18 @@ def _product(coded: DataFrame, size: int, right: np.ndarray) -> np.ndarray:
     spark = coded.sparkSession
     given = spark.sparkContext.broadcast(right.astype(np.float32))
     width = right.shape[1]
-    step = max(1, -(-size // 16))
+    slices = -(-size // SLICE)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q = given.value
-        total = np.zeros((size, width))
+        place = np.full(size, -1, np.int32)  # of each term among those held
+        held, total, n = np.zeros(0, np.int64), np.zeros((0, width)), 0
+
+        def passed() -> pd.DataFrame:
+            own, sums = held[:n], total[:n]
+            rows = [(s, own[at].astype("<i8").tobytes(), sums[at].astype("<f8").tobytes()) for s in np.unique(own // SLICE).tolist() for at in [np.flatnonzero(own // SLICE == s)]]
+            return pd.DataFrame(rows, columns=["slice", "terms", "sums"])
+
         for pdf in batches:
             for lo in range(0, len(pdf), 2000):
                 part = pdf.iloc[lo : lo + 2000]
@@ -216,23 +223,39 @@ def _product(coded: DataFrame, size: int, right: np.ndarray) -> np.ndarray:
                     continue
                 own = _sums(q[term], sent, len(doc))
                 all_of = _sums(own, doc, len(part))
-                n = np.bincount(doc, minlength=len(part))
-                weight = np.where(n > 1, 1 / np.maximum(n - 1, 1), 0.0)[doc]
+                count = np.bincount(doc, minlength=len(part))
+                weight = np.where(count > 1, 1 / np.maximum(count - 1, 1), 0.0)[doc]
                 other = (all_of[doc] - own) * weight[:, None]
                 order = np.argsort(term, kind="stable")
                 t = term[order]
                 at = np.flatnonzero(np.diff(t, prepend=-1))
-                total[t[at]] += np.add.reduceat(other[sent[order]], at, axis=0)
-        yield pd.DataFrame({"slice": range(0, size, step), "sums": [total[i : i + step].astype("<f8").tobytes() for i in range(0, size, step)]})
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x, "<f8") for x in pdf["sums"]], axis=0)
-        return pd.DataFrame({"slice": [pdf["slice"].iat[0]], "sums": [total.tobytes()]})
+                fresh = t[at][place[t[at]] < 0]
+                if n + len(fresh) > len(held):
+                    more = max(len(held), len(fresh), 1024)
+                    held, total = np.concatenate([held, np.zeros(more, np.int64)]), np.concatenate([total, np.zeros((more, width))])
+                place[fresh] = np.arange(n, n + len(fresh))
+                held[n : n + len(fresh)] = fresh
+                n += len(fresh)
+                total[place[t[at]]] += np.add.reduceat(other[sent[order]], at, axis=0)
+                if n > HELD:
+                    yield passed()
+                    place[held[:n]] = -1
+                    total[:n] = 0
+                    n = 0
+        yield passed()
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for s, terms_, part in zip(pdf["slice"], pdf["terms"], pdf["sums"], strict=True):
+                total = sums.setdefault(s, np.zeros((min(SLICE, size - s * SLICE), width)))
+                total[np.frombuffer(terms_, "<i8") - s * SLICE] += np.frombuffer(part, "<f8").reshape(-1, width)
+        yield pd.DataFrame({"slice": list(sums), "sums": [x.astype("<f8").tobytes() for x in sums.values()]}).astype({"slice": "int32"})
 
-    parts = coded.mapInPandas(run, "slice int, sums binary").groupBy("slice").applyInPandas(add, "slice int, sums binary").collect()  # one matrix, bounded by the vocabulary
+    parts = coded.mapInPandas(run, "slice int, terms binary, sums binary").repartitionById(slices, F.col("slice")).mapInPandas(add, "slice int, sums binary").collect()  # one matrix, bounded by the vocabulary
     out = np.zeros((size, width))
     for r in parts:
-        out[r["slice"] : r["slice"] + step] = np.frombuffer(r["sums"], "<f8").reshape(-1, width)
+        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["sums"], "<f8").reshape(-1, width)
     return out
 
 
@@ -260,16 +283,18 @@ def _decompose(coded: DataFrame, size: int, n_terms: int, mass: np.ndarray) -> n
 
 
 def _grouped(rows: DataFrame, per_batch: Callable, n: int, dims: int) -> np.ndarray:
-    """Sums of the n x dims matrices that per_batch makes of each batch."""
+    """Sums of the n x dims matrices that per_batch makes of each batch; the tasks' sums meet row by row."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((n, dims))
         for pdf in batches:
             total += per_batch(pdf)
-        yield pd.DataFrame({"one": [0], "sums": [total.tobytes()]})
+        some = np.flatnonzero(total.any(1))
+        yield pd.DataFrame({"row": some.astype("int32"), "sums": list(total[some])})
 
     out = np.zeros((n, dims))
-    for r in rows.mapInPandas(run, "one int, sums binary").toLocalIterator():  # a matrix of centroids per task, summed one by one
-        out += np.frombuffer(r["sums"], "<f8").reshape(n, dims)
+    each = rows.mapInPandas(run, "row int, sums array<double>").groupBy("row").agg(*[F.sum(F.get("sums", F.lit(i))).alias(f"d{i}") for i in range(dims)])
+    for r in each.collect():  # one row a centroid
+        out[r["row"]] = r[1:]
     return out
 
 
@@ -280,7 +305,7 @@ def _seeds(coded, labels, subjects, vectors, words, n_langs, n_terms):
     names = sorted(described)
     place = {s: i for i, s in enumerate(names)}
     said = labels.where(F.col("subject").isin(names)).groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
-    known = coded.join(said, "doc_id").coalesce(TASKS)
+    known = coded.join(said, "doc_id")
     shared = spark.sparkContext.broadcast(vectors)
     dims = vectors.shape[1]
 

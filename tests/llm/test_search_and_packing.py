@@ -52,6 +52,36 @@ def test_scan_abandons_no_neighbour():
     assert {(i, i) for i in range(30)} <= set(zip(at.tolist(), other.tolist(), strict=True)) and (sim >= 0.85).all()
 
 
+def test_bounds_fall_to_the_kth_distance(monkeypatch):
+    rng = np.random.default_rng(3)
+    q, m = (a / np.linalg.norm(a, axis=1, keepdims=True) for a in (rng.standard_normal((20, 64)).astype(np.float32), rng.standard_normal((6000, 64)).astype(np.float32)))
+    bounds = np.full(20, 4.0)
+    at, other, sim = nb.scan_list(q, m, 5, -1.0, bounds)  # no least similarity: only the k-th distance abandons
+    true = np.sort(2 - 2 * (q @ m.T), axis=1)[:, 5]
+    assert (np.abs(bounds - true) < 1e-3).all()
+    got = {(a, b) for a, b in zip(at.tolist(), other.tolist(), strict=True)}
+    want = {(i, j) for i in range(20) for j in np.argsort(-(q @ m.T)[i])[:5].tolist()}
+    assert len(got & want) >= 0.98 * len(want)
+
+
+def test_two_level_lists_and_split_askers(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((500, 16)).astype(np.float32)
+    c = nb.fit_lists(x / np.linalg.norm(x, axis=1, keepdims=True), 100)
+    tops = nb.fit_lists(c, 10)
+    member = np.argmax(c @ tops.T, axis=1)
+    got = nb.nearest_lists(x, c, tops, [np.flatnonzero(member == g) for g in range(10)], 10)
+    exact = np.argsort(-(x @ c.T), axis=1)[:, :10]
+    assert all(len(g) == 10 for g in got) and np.mean([len(set(g) & set(e)) / 10 for g, e in zip(got, exact, strict=True)]) > 0.75 and np.mean([g[0] == e[0] for g, e in zip(got, exact, strict=True)]) > 0.95
+    monkeypatch.setattr(nb, "LIST_SIZE", 50)
+    monkeypatch.setattr(nb, "ASKERS", 30)
+    x = np.concatenate([x[:150], x[:150] + 0.05 * rng.standard_normal((150, 16)).astype(np.float32)])
+    ids = [f"{i:03d}" for i in range(300)]
+    d = spark.createDataFrame([(i, "m", [float(y) for y in v]) for i, v in zip(ids, x, strict=True)], "id string, kind string, vector array<float>")
+    got = {(r["id"], r["neighbour"]) for r in nb.neighbours(d, 16, 3, 0.9).collect()}
+    assert got == brute_pairs(ids, ["m"] * 300, x.astype(float), 3, 0.9)
+
+
 def test_large_list_is_chunked(spark, monkeypatch):
     monkeypatch.setattr(nb, "LIST_SIZE", 50)
     monkeypatch.setattr(nb, "MAX_LIST", 10)
