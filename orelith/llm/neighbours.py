@@ -22,7 +22,7 @@ LIST_SIZE = 600  # vectors a list should hold
 MAX_LIST = 4_000  # a larger list is cut into chunks, all of which are probed
 PROBES = 10  # lists probed per vector
 BUNDLE = 24_000  # vectors of neighbouring lists that one task holds
-ASKERS = 100_000  # vectors that one task looks up in them
+ASKERS = 400_000  # probes that one task answers, which is at most so many vectors
 STEP = 1_024  # members scanned before the bounds are lowered
 BLOCK = 16  # dimensions per column block
 EPSILON = 2.1  # strictness of the abandoning test; larger keeps more candidates
