@@ -25,6 +25,13 @@ def text_micros(c: str | Column) -> Column:
     return F.unix_micros(zoned.try_cast("timestamp"))
 
 
+def shown(micros: Column) -> Column:
+    """`YYYY-MM-DD HH:MM:SS` in UTC."""
+    day, second = F.floor(micros / F.lit(DAY)), F.floor(F.pmod(micros, F.lit(DAY)) / 1_000_000)
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    return F.concat(F.date_from_unix_date(day.cast("int")).cast("string"), F.lit(" "), F.concat_ws(":", two(F.floor(second / 3600)), two(F.floor(second / 60) % 60), two(second % 60)))
+
+
 def month_of(micros: Column) -> Column:
     """`YYYY-MM` in UTC."""
     return F.date_format(F.date_from_unix_date(F.floor(micros / F.lit(DAY)).cast("int")), "yyyy-MM")

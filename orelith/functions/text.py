@@ -81,3 +81,14 @@ def list_json(c: str | Column) -> Column:
     """A list of strings as JSON text, null when empty: the form in which lists are searched."""
     c = _col(c)
     return F.when(F.size(c) > 0, F.to_json(c))
+
+
+def parse_list(c: str | Column) -> Column:
+    """The texts of a JSON list; null for what is none."""
+    return F.from_json(F.col(c) if isinstance(c, str) else c, "array<string>")
+
+
+def bounded_lines(lines: Column, most: int = 80) -> Column:
+    """At most `most` lines: the first three quarters of them and the last quarter, where there are more."""
+    head = most * 3 // 4
+    return F.when(F.size(lines) <= most, lines).otherwise(F.concat(F.slice(lines, 1, head), F.slice(lines, -(most - head), most - head)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orelith.functions.moments import wall_micros
 from orelith.functions.paths import extension
 from orelith.functions.rules import is_route_decorator, is_test_path, strip_test_words, symbol_parts
 
@@ -110,6 +111,33 @@ def public_symbols(headers: DataFrame) -> DataFrame:
     return out.unionByName(m.select("file", symbol.alias("symbol"), kind.alias("kind")).where("kind IS NOT NULL")).distinct()
 
 
+def of_symbol(public: DataFrame, symbol: str) -> DataFrame:
+    """Public symbols that hold the given one or are held by it, in any case; a blank one leaves all."""
+    low = F.lower("symbol")
+    return public.where(low.contains(symbol.lower()) | F.lit(symbol.lower()).contains(low)) if symbol.strip() else public
+
+
+def same_file_symbols(symbols: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target_id, id): the other symbols of a target's file, those of the target's own range left out. targets: rows of symbols."""
+    t = targets.select(F.col("id").alias("target_id"), F.col("file"), F.col("loc").alias("_l"))
+    return t.join(symbols.select("id", "file", "loc"), "file").where((F.col("id") != F.col("target_id")) & ~F.col("loc").eqNullSafe(F.col("_l"))).select("target_id", "id")
+
+
+def index_age(manifests: DataFrame, now) -> DataFrame:
+    """Adds age_hours, whole hours from the end of each run to `now` (a column), and whether it is older than a day."""
+    hours = F.floor((wall_micros(now) - wall_micros("finished_at")) / 3_600_000_000)
+    return manifests.withColumn("age_hours", hours).withColumn("is_old", F.coalesce(F.col("age_hours") > 24, F.lit(False)))
+
+
+def unread(asked: DataFrame, history: DataFrame) -> DataFrame:
+    """Asked ranges (file, start_line, end_line) that no range of the history (file, start_line, end_line) contains.
+
+    The history's ranges of a file are reduced to one per first line before they meet what is asked.
+    """
+    h = history.groupBy("file", F.col("start_line").alias("_a")).agg(F.max("end_line").alias("_b"))
+    return asked.join(h, (asked["file"] == h["file"]) & (h["_a"] <= asked["start_line"]) & (h["_b"] >= asked["end_line"]), "left_anti")
+
+
 def risk(facts: DataFrame) -> DataFrame:
     """Adds risk_score and risk_level to facts (n_callers, n_routes, n_exports, stale)."""
     score = (

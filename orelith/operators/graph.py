@@ -115,6 +115,30 @@ def trace(symbols: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:
     return reachable(links, start, max(1, min(5, depth)))
 
 
+# ---- fixed values: what a candidate is worth by how it is named
+MATCH_WORTH = {"id": 120, "hash": 110, "dot": 108, "name": 100, "direct": 90, "other": 60}
+PREFERRED_WORTH, IMPORTED_WORTH = 50, 25
+
+
+def match_score(selector: str, direct: Column, preferred: Column, imported: Column) -> Column:
+    """What a method (id, name, class) is worth for a selector; direct: the selector names it, preferred: it stands in the
+    asking file or one that file imports, imported: its name or owner is imported."""
+    q, name, owner = selector.lower(), F.lower("name"), F.lower(F.coalesce("class", F.lit("")))
+    own = (
+        F.when(F.lower("id") == q, MATCH_WORTH["id"]).when((owner != "") & (F.concat(owner, F.lit("#"), name) == q), MATCH_WORTH["hash"]).when((owner != "") & (F.concat(owner, F.lit("."), name) == q), MATCH_WORTH["dot"])
+        .when(name == q, MATCH_WORTH["name"]).when(direct, MATCH_WORTH["direct"]).otherwise(MATCH_WORTH["other"])
+    )
+    return own + F.when(preferred, PREFERRED_WORTH).when(imported, IMPORTED_WORTH).otherwise(0)
+
+
+def match_candidates(exact: DataFrame, pattern: DataFrame, selector: str) -> DataFrame:
+    """(id, file, score) of the methods among exact and pattern hits, each once."""
+    named = F.array_contains(selectors(F.col("id"), F.col("name"), F.col("class")), selector)
+    cols = ["id", "type", "file", "loc", "name", "class"]
+    both = exact.select(*cols).unionByName(pattern.select(*cols)).dropDuplicates(["type", "file", "id", "loc"]).where("type = 'method'")
+    return both.select("id", "file", match_score(selector, named, F.lit(False), F.lit(False)).alias("score"))
+
+
 def indexed_files(files: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, file): the one file that each path of queries (query) names: whole or as a tail, with or without extension, in any case; none where several fit.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orelith.functions import rules, text
 from orelith.functions.identity import checksum, class_id, method_ids
-from orelith.functions.moments import text_micros
+from orelith.functions.moments import shown, text_micros
 from orelith.functions.paths import clean_path, extension
 from orelith.operators import audit, graph, incremental, notes, search, sections, state_refs
 from orelith.operators.snapshots import completed_ranks, latest_by
@@ -428,6 +428,51 @@ def public_api(spark, sf):
     return audit.public_symbols(relations.headers(spark, sf)).select("file", "symbol", F.col("kind").alias("api_kind"))
 
 
+def public_api_of(spark, sf):
+    return audit.of_symbol(audit.public_symbols(relations.headers(spark, sf)), WORD).select("file", "symbol", F.col("kind").alias("api_kind"))
+
+
+def same_file_symbols(spark, sf):
+    s = _symbols(spark, sf)
+    return audit.same_file_symbols(s, search.exact_search(s, QUERY, 20))
+
+
+def match_candidates(spark, sf):
+    s = _symbols(spark, sf)
+    return graph.match_candidates(search.exact_search(s, QUERY, 10), search.regex_search(s, search.quoted(QUERY), 10), QUERY)
+
+
+def index_age(spark, sf):
+    """Age of every finished run when the last one started."""
+    m = table(spark, sf, "manifests").select("generation_id", "started_at", "finished_at")
+    last = m.agg(F.max("started_at").alias("now"))
+    return audit.index_age(m.where("finished_at IS NOT NULL").join(last), F.col("now")).select("generation_id", "age_hours", "is_old")  # one row of now
+
+
+def unread_ranges(spark, sf):
+    """Methods that no class range of their file contains, classes standing for what was read before."""
+    s = _symbols(spark, sf).select("id", "file", "type", rules.range_start("loc").alias("start_line"), rules.range_end("loc").alias("end_line"))
+    return audit.unread(s.where("type = 'method' AND start_line IS NOT NULL"), s.where("type = 'class'")).select("id")
+
+
+def bounded_files(spark, sf):
+    """Every source file as it is shown: at most 80 lines."""
+    f = relations.files(spark, sf).select("file", text.bounded_lines(F.split("text", "\n")).alias("ls"))
+    return f.select("file", F.size("ls").alias("n_lines"), checksum(F.array_join("ls", "\n")).alias("shown_sum"))
+
+
+def note_times(spark, sf):
+    """When a note was made, as it is shown."""
+    n = relations.notes(spark, sf)
+    return n.select("id", shown(text_micros("created_at")).alias("shown_at"))
+
+
+def parsed_lists(spark, sf):
+    """References written as JSON and read back."""
+    s = _symbols(spark, sf).where("type = 'method'")
+    return s.select("id", F.coalesce(F.size(F.filter(text.parse_list(text.list_json("refs")), lambda x: x.isNotNull())), F.lit(0)).alias("n_refs"))
+
+
 def risk_level(spark, sf):
     """Risk of a change to each file: callers from other files, exports, routes, whether it changed since the snapshot before."""
     h = relations.headers(spark, sf)
@@ -505,5 +550,5 @@ symbol_intent path_keywords vector_text class_vector_text search_content meta_in
 postings lexical_bm25 document_bm25 memory_lexical vector_knn vector_knn_typed embedding_knn hybrid_search hybrid_typed result_clusters batch_search file_scoped_search files_list
 memory_list memory_before memory_hint memory_scope callers callees refs_depth trace symbol_resolve import_resolution export_resolution file_resolve file_scoped_resolve state_writes_by_path project_overloads state_references state_writers state_readers changed_files
 method_diff upsert delete_by_file debounce_changes manifest_history insight_backlog embedding_cache_misses stale_report issue_summary status test_candidates public_api risk_level
-enrich_deep snippets overload_groups enclosing_class language_histogram""".split()
+public_api_of same_file_symbols match_candidates index_age unread_ranges bounded_files note_times parsed_lists enrich_deep snippets overload_groups enclosing_class language_histogram""".split()
 QUERIES = {n: globals()[n] for n in _NAMES}

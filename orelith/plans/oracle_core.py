@@ -82,6 +82,10 @@ def _low(c: str) -> str:
     return f"lower(coalesce({c}, ''))"
 
 
+def _holds(q: str) -> str:
+    return "(" + " OR ".join(f"contains(lower({f}), '{q}')" for f in [f"coalesce({c}, '')" for c in _FIELDS] + ["coalesce(class, '') || '.' || name", "coalesce(class, '') || '#' || name"]) + ")"
+
+
 def _exact(q: str, limit: int, name: str = "ex") -> str:
     """CTEs that end in `name` (id, tier, score and all columns of sym)."""
     ql = q.lower()
@@ -350,6 +354,22 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, fil
 SELECT target, file, CAST(score AS INT) AS score, CASE WHEN score >= 70 THEN 'high' WHEN score >= 45 THEN 'medium' ELSE 'low' END AS confidence FROM rk WHERE rn <= 8""",
     "public_api": _BASE
     + "SELECT DISTINCT file, symbol, api_kind FROM (SELECT file, unnest(exports) AS symbol, 'export' AS api_kind FROM hd UNION ALL SELECT file, concat_ws('#', m.class_name, m.method_name), 'public-method' FROM ms WHERE m.visibility IN ('public', 'export'))",
+    "public_api_of": _BASE
+    + f"""SELECT DISTINCT file, symbol, api_kind FROM (SELECT file, unnest(exports) AS symbol, 'export' AS api_kind FROM hd UNION ALL SELECT file, concat_ws('#', m.class_name, m.method_name), 'public-method' FROM ms WHERE m.visibility IN ('public', 'export'))
+WHERE contains(lower(symbol), '{WORD}') OR contains('{WORD}', lower(symbol))""",
+    "same_file_symbols": _BASE + _exact(QUERY, 20) + ", t AS (SELECT sym.* FROM sym JOIN ex USING (id)) SELECT t.id AS target_id, s.id FROM t JOIN sym s ON s.file = t.file AND s.id <> t.id AND s.loc IS DISTINCT FROM t.loc",
+    "match_candidates": _BASE
+    + _exact(QUERY, 10)
+    + f""", rg AS (SELECT id FROM sym WHERE {_holds(QUERY)} ORDER BY ordinal LIMIT 10)
+SELECT id, file, CASE WHEN lower(id) = '{QUERY}' THEN 120 WHEN lower(class || '#' || name) = '{QUERY}' THEN 110 WHEN lower(class || '.' || name) = '{QUERY}' THEN 108 WHEN lower(name) = '{QUERY}' THEN 100 ELSE 60 END AS score
+FROM sym WHERE type = 'method' AND id IN (SELECT id FROM ex UNION SELECT id FROM rg)""",
+    "index_age": "SELECT generation_id, CAST(floor((epoch_us((SELECT max(started_at) FROM manifests)) - epoch_us(finished_at)) / 3600000000) AS BIGINT) AS age_hours, coalesce(floor((epoch_us((SELECT max(started_at) FROM manifests)) - epoch_us(finished_at)) / 3600000000) > 24, false) AS is_old FROM manifests WHERE finished_at IS NOT NULL",
+    "unread_ranges": _BASE + f", s AS (SELECT id, file, type, {_a()} AS a, {_b()} AS b FROM sym) SELECT id FROM s m WHERE type = 'method' AND a IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s c WHERE c.type = 'class' AND c.file = m.file AND c.a <= m.a AND c.b >= m.b)",
+    "bounded_files": _BASE
+    + """, x AS (SELECT file, string_split(text, chr(10)) AS ls FROM fl), y AS (SELECT file, CASE WHEN len(ls) <= 80 THEN ls ELSE list_concat(ls[1:60], ls[len(ls) - 19:len(ls)]) END AS ls FROM x)
+SELECT file, CAST(len(ls) AS INT) AS n_lines, substr(sha256(array_to_string(ls, chr(10))), 1, 8) AS shown_sum FROM y""",
+    "note_times": _BASE + r"SELECT id, strftime(CAST(CASE WHEN regexp_matches(created_at, '(Z|[+-]\d\d:\d\d)$') THEN created_at ELSE created_at || 'Z' END AS TIMESTAMPTZ) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS shown_at FROM nt",
+    "parsed_lists": _BASE + "SELECT id, CAST(coalesce(len(list_filter(refs, lambda r: r IS NOT NULL)), 0) AS INT) AS n_refs FROM sym WHERE type = 'method'",
     "risk_level": _BASE
     + _REFS
     + _EDGES
