@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -77,7 +78,7 @@ def leaks(documents: DataFrame, items: DataFrame, words: int = WORDS) -> DataFra
         shared = spark.sparkContext.broadcast(pickle.dumps(block))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            machine = automaton(pickle.loads(shared.value), words)
+            machine = built(shared.value, words)
             for pdf in batches:
                 rows = []
                 for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
@@ -90,6 +91,14 @@ def leaks(documents: DataFrame, items: DataFrame, words: int = WORDS) -> DataFra
     return out.groupBy("doc_id", "item_id").agg(F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.max("n_runs").alias("n_runs"))
 
 
+@lru_cache(maxsize=4)
+def built(pickled: bytes, words: int):
+    """The automaton of pickled items, built once a worker."""
+    import pickle
+
+    return automaton(pickle.loads(pickled), words)
+
+
 def hits(machine, text: str) -> list[tuple[int, int, int, int]]:
     """(item, first_at, last_at, n_runs) of one text."""
     import bisect

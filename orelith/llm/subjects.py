@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orelith.llm.leaks import WORD, automaton, normalised
+from orelith.llm.leaks import WORD, built, normalised
 from orelith.session import materialise, widen
 
 LANGUAGES = ("en", "tr", "de")
@@ -93,7 +93,7 @@ def subject_counts(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
     docs = widen(documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "tag", "whole"))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine = automaton(pickle.loads(shared.value), 12)
+        machine = built(shared.value, 12)
         for pdf in batches:
             rows = []
             for doc, text, tag, whole in zip(pdf["doc_id"], pdf["text"], pdf["tag"], pdf["whole"], strict=True):
