@@ -24,7 +24,8 @@ ISSUE_KINDS = {
     "orphan-vector": ("vectors", "medium"),
     "vector-mismatch": ("vectors", "medium"),
 }
-GRAM = 6  # letters by which tests and looked-for names meet
+GRAMS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64)  # first letters, as many as a name has, by which tests and looked-for names meet
+SCORES = (100, 70, 50, 20)  # of a test: base name and word, base name, word, neither
 
 # ---- fixed values: extensions by language; text files always count
 EXTENSIONS = {"typescript": [".ts", ".tsx"], "javascript": [".js", ".jsx", ".mjs", ".cjs"], "csharp": [".cs"], "text": [".md", ".mdx", ".txt"]}
@@ -75,29 +76,58 @@ def is_fresh(issues: DataFrame) -> bool:
     return issues.where("severity <> 'low'").isEmpty()
 
 
+def _pairs(bases: Column, words: Column) -> Column:
+    """All (base, word) of two lists, either or both of them left blank included."""
+    blank = F.array(F.lit(""))
+    each = F.transform(F.array_union(blank, bases), lambda b: F.transform(F.array_union(blank, words), lambda w: F.struct(b.alias("_b"), w.alias("_w"))))
+    return F.explode(F.flatten(each))
+
+
 def test_candidates(files: DataFrame, targets: DataFrame, most: int = 8) -> DataFrame:
     """(target, file, score, confidence): test files of the same project that may cover a target.
 
     files: (project, file); targets: (target, project, file, symbols array<string>). 20 for a test path, 50 more if it
     holds the target's base name, 30 more if it holds a word of three or more letters of a symbol; the best eight, ties by file.
 
-    Targets meet only tests that share the first letters (up to six) of a name they look for, by an equi join on letter
-    runs of the test's path; the names are then looked up in full. Of the tests without a match only a project's first
-    eight can be among the best, so no target is paired with all tests of its project.
+    A project's names (base names and words) are looked up once each in the distinct parts of its tests' paths, by an equi
+    join on their first letters (GRAMS) with the letter runs of the parts. A test is listed under each name, and each pair of base name
+    and word, that it holds; only the first eight of such a list can be among the best of a target, so no target is paired
+    with all tests that it matches. A list of letter runs is many times what it is made from, by which Spark guesses
+    its size; so the joins with such lists are told not to broadcast them.
     """
     base = F.regexp_replace(F.regexp_replace("file", r"^.*/", ""), r"\.[^.]*$", "")
-    words = F.filter(F.array_distinct(F.flatten(F.transform("symbols", symbol_parts))), lambda t: F.length(t) >= 3)
-    look = F.concat(F.array(F.struct(F.lit(50).alias("worth"), F.lower(strip_test_words(base)).alias("key"))), F.transform(words, lambda w: F.struct(F.lit(30).alias("worth"), w.alias("key"))))
-    asked = targets.select("target", "project", F.explode(look).alias("k")).select("target", "project", "k.*").where(F.col("key") != "").withColumn("_g", F.substring("key", 1, GRAM))
+    words = F.flatten(F.transform(F.filter("symbols", lambda s: s.isNotNull()), symbol_parts))
+    words = F.coalesce(F.filter(F.array_distinct(words), lambda t: F.length(t) >= 3), F.array().cast("array<string>"))
+    t = targets.select("target", "project", F.coalesce(F.lower(strip_test_words(base)), F.lit("")).alias("base"), words.alias("words"))
+    names = t.select("project", F.explode(F.concat(F.array(F.struct(F.col("base").alias("key"), F.lit(True).alias("is_base"))), F.transform("words", lambda w: F.struct(w.alias("key"), F.lit(False).alias("is_base"))))).alias("k"))
+    names = names.where("k.key <> ''").groupBy("project", "k.key").agg(F.max("k.is_base").alias("is_base"), F.min("k.is_base").alias("_m")).select("project", "key", "is_base", (~F.col("_m")).alias("is_word"))
+    sizes = F.array(*[F.lit(n) for n in GRAMS])
+    names = names.withColumn("_g", F.substring("key", F.lit(1), F.array_max(F.filter(sizes, lambda n: n <= F.length("key")))))
+
     tests = files.where(is_test_path("file")).select("project", "file", F.lower(strip_test_words(F.col("file"))).alias("_hay")).distinct()
-    runs = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_hay") - n + 1, F.lit(1))), lambda i: F.substring(F.col("_hay"), i, n)))))
-    found = tests.select("project", "file", "_hay", F.explode(runs).alias("_g")).join(asked, ["project", "_g"]).where(F.col("_hay").contains(F.col("key")))
-    scored = found.groupBy("target", "file").agg((F.lit(20) + F.max(F.when(F.col("worth") == 50, 50).otherwise(0)) + F.max(F.when(F.col("worth") == 30, 30).otherwise(0))).alias("score"))
-    first = tests.withColumn("r", F.row_number().over(Window.partitionBy("project").orderBy("file"))).where(F.col("r") <= most).groupBy("project").agg(F.collect_list("file").alias("fs"))
-    plain = targets.select("target", "project").distinct().join(first, "project").select("target", F.explode("fs").alias("file"), F.lit(20).alias("score"))
-    all_scored = scored.unionByName(plain).groupBy("target", "file").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("target").orderBy(F.desc("score"), "file")
-    top = all_scored.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
+    parts = F.split("_hay", "/")  # no name has a slash, unless a line break before it hides it from the pattern of the base name
+    parts = F.array_distinct(F.when(F.col("_hay").rlike(r"[\n\r\x{85}\x{2028}\x{2029}]"), F.array_append(parts, F.col("_hay"))).otherwise(parts))
+    parts = tests.select("project", "file", F.explode(parts).alias("part"))
+    fitting = F.filter(sizes, lambda n: n <= F.length("part"))
+    runs = F.array_distinct(F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), F.length("part") - n + 1), lambda i: F.substring(F.col("part"), i, n)))))
+    runs = parts.select("project", "part").distinct().select("project", "part", F.explode(runs).alias("_g"))
+    found = runs.hint("merge").join(names, ["project", "_g"]).where(F.col("part").contains(F.col("key"))).select("project", "part", "key", "is_base", "is_word")
+    held = parts.hint("merge").join(found, ["project", "part"], "left").groupBy("project", "file")
+    held = held.agg(F.collect_set(F.when(F.col("is_base"), F.col("key"))).alias("bases"), F.collect_set(F.when(F.col("is_word"), F.col("key"))).alias("words"))
+
+    listed = held.select("project", "file", _pairs(F.col("bases"), F.col("words")).alias("k")).select("project", "k.*", "file")
+    by_name = Window.partitionBy("project", "_b", "_w").orderBy("file")
+    lists = listed.withColumn("r", F.row_number().over(by_name)).where(F.col("r") <= most).groupBy("project", "_b", "_w").agg(F.collect_list("file").alias("fs"))
+    asked = t.select("target", "project", _pairs(F.array("base"), F.col("words")).alias("k")).select("target", "project", "k.*")
+    score = F.lit(20) + F.when(F.col("_b") != "", 50).otherwise(0) + F.when(F.col("_w") != "", 30).otherwise(0)
+    scored = asked.hint("merge").join(lists.hint("merge"), ["project", "_b", "_w"]).select("target", score.alias("score"), "fs")
+    best = scored.groupBy("target").agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("score") == s, F.col("fs")))))).alias(f"_{s}") for s in SCORES])
+    rows, seen = [], F.array().cast("array<string>")
+    for s in SCORES:
+        new = F.array_except(f"_{s}", seen)
+        rows.append(F.arrays_zip(new.alias("file"), F.array_repeat(F.lit(s), F.size(new)).alias("score")))
+        seen = F.array_union(seen, F.col(f"_{s}"))
+    top = best.select("target", F.explode(F.slice(F.concat(*rows), 1, most)).alias("k")).select("target", "k.*")
     return top.withColumn("confidence", F.when(F.col("score") >= 70, "high").when(F.col("score") >= 45, "medium").otherwise("low"))
 
 
